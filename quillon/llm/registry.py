@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam
+from quillon.llm import decontam, ngram_join
 
 QUERIES = {
+    "op3_ngram_jaccard_join": ngram_join.query,
     "op10_benchmark_decontamination": decontam.query,
 }
 
 ORACLE_SQL = {
+    "op3_ngram_jaccard_join": ngram_join.SQL,
     "op10_benchmark_decontamination": decontam.SQL,
 }

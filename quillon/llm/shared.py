@@ -25,13 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
+    if not found:
+        found = getattr(spark.sparkContext, "_quillon_dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         found = f"file://{path}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext._quillon_dir = found
     return found.rstrip("/")
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, ngram_join
+from quillon.llm import decontam, licenses, ngram_join
 
 QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op9_license_scans": licenses.query,
     "op10_benchmark_decontamination": decontam.query,
 }
 
 ORACLE_SQL = {
+    "op9_license_scans": licenses.SQL,
     "op3_ngram_jaccard_join": ngram_join.SQL,
     "op10_benchmark_decontamination": decontam.SQL,
 }

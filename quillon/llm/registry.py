@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, licenses, ngram_join
+from quillon.llm import decontam, licenses, ngram_join, quality
 
 QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op8_quality_rules": quality.query,
     "op9_license_scans": licenses.query,
     "op10_benchmark_decontamination": decontam.query,
 }
 
 ORACLE_SQL = {
+    "op8_quality_rules": quality.SQL,
     "op9_license_scans": licenses.SQL,
     "op3_ngram_jaccard_join": ngram_join.SQL,
     "op10_benchmark_decontamination": decontam.SQL,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, licenses, ngram_join, quality
+from quillon.llm import decontam, licenses, ngram_join, quality, toxicity
 
 QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op6_toxicity": toxicity.query,
     "op8_quality_rules": quality.query,
     "op9_license_scans": licenses.query,
     "op10_benchmark_decontamination": decontam.query,

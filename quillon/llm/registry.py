@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, licenses, ngram_join, quality, toxicity
+from quillon.llm import decontam, langid, licenses, ngram_join, quality, toxicity
 
 QUERIES = {
+    "op2_language_id": langid.query,
     "op3_ngram_jaccard_join": ngram_join.query,
     "op6_toxicity": toxicity.query,
     "op8_quality_rules": quality.query,

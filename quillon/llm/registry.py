@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, langid, licenses, ngram_join, quality, toxicity
+from quillon.llm import decontam, langid, licenses, mixing, ngram_join, quality, resharding, toxicity
 
 QUERIES = {
     "op2_language_id": langid.query,
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op5_mixing": mixing.query,
     "op6_toxicity": toxicity.query,
+    "op7_resharding": resharding.query,
     "op8_quality_rules": quality.query,
     "op9_license_scans": licenses.query,
     "op10_benchmark_decontamination": decontam.query,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, langid, licenses, mixing, ngram_join, quality, resharding, toxicity
+from quillon.llm import chat, decontam, langid, licenses, mixing, ngram_join, quality, resharding, toxicity
 
 QUERIES = {
+    "op1_chat_formatting": chat.query,
     "op2_language_id": langid.query,
     "op3_ngram_jaccard_join": ngram_join.query,
     "op5_mixing": mixing.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_chat_formatting": chat.SQL,
     "op8_quality_rules": quality.SQL,
     "op9_license_scans": licenses.SQL,
     "op3_ngram_jaccard_join": ngram_join.SQL,

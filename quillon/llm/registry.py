@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, decontam, langid, licenses, mixing, ngram_join, quality, resharding, toxicity
+from quillon.llm import chat, decontam, html_cut, langid, licenses, mixing, ngram_join, quality, resharding, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
     "op2_language_id": langid.query,
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op4_html_extraction": html_cut.query,
     "op5_mixing": mixing.query,
     "op6_toxicity": toxicity.query,
     "op7_resharding": resharding.query,

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
@@ -332,8 +332,9 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     """One document of each component, the one of the smallest doc_id (once, if its row is repeated); null ids stay."""
     names = documents.columns
     found = components(documents, **options).where("doc_id = component_id or doc_id is null").select("doc_id").where("doc_id is not null").distinct()
-    with_id = documents.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi")
-    return with_id.select(*names).unionByName(documents.where(F.col("doc_id").isNull()))
+    rows = documents.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names])))
+    return rows.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in names]).unionByName(documents.where(F.col("doc_id").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

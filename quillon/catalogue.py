@@ -1,6 +1,304 @@
-"""The queries of the retrieval engine and the SQL each is held against."""
+"""The queries of the retrieval engine and the SQL each is held against.
+
+Documents are vectors of token counts (255 at most), benchmark items are queries; tokens part at ASCII white space and
+keep their case. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions.vectors import TOP_IMPACT, scale_batch, scale_impacts, scale_single, term_counts
+from quillon.operators import ranking, tables
+from quillon.plans.search import Tables, live_blocks, search, two_waves
+from quillon.sources.queries import parse_lines, text_weights
+from quillon.sources.runs import result_frame, run_lines
+
+ASCII = "[ \\t\\n\\r\\f]+"
+BSIZE = 32
+
+
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, term, impact, block_id)"""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    counts = term_counts(docs, "doc_id", pattern=ASCII, name="n")
+    return tables.with_blocks(counts.select("doc_id", "term", F.least(F.lit(TOP_IMPACT), "n").cast("smallint").alias("impact")), BSIZE)
+
+
+def raw_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, term, weight) as counted"""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
+    return term_counts(items, "qid", pattern=ASCII)
+
+
+def queries_tf(spark, sf):
+    return scale_batch(raw_queries(spark, sf))
+
+
+def queries_float(spark, sf):
+    """Float weights, always scaled"""
+    return scale_single(raw_queries(spark, sf).withColumn("weight", F.col("weight").cast("float") * F.lit(0.7).cast("float")))
+
+
+def all_tables(spark, sf) -> Tables:
+    p = postings(spark, sf)
+    return Tables(p, tables.term_statistics(p), tables.block_maxima(p))
+
+
+def only_postings(spark, sf) -> Tables:
+    return Tables(postings(spark, sf), None, None)
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in names})
+
+
+def term_stats(spark, sf):
+    return _long(tables.term_statistics(postings(spark, sf)), "df", "max_impact", "k10", "k100", "k1000")
+
+
+def query_known_terms(spark, sf):
+    vocabulary = postings(spark, sf).select("term").distinct()
+    return ranking.known_terms(queries_tf(spark, sf), vocabulary).groupBy("qid").agg(F.count("*").alias("n_known"))
+
+
+def query_beta_05(spark, sf):
+    known = ranking.known_terms(queries_tf(spark, sf), postings(spark, sf).select("term").distinct())
+    return _long(ranking.keep_heaviest(known, 0.5).select("qid", "term", "weight"), "weight")
+
+
+def block_max(spark, sf):
+    return tables.block_maxima(postings(spark, sf)).groupBy("block_id").agg(F.count("*").alias("n_terms"), F.sum("max_impact").alias("sum_max"), F.max("max_impact").cast("long").alias("max_max"))
+
+
+def block_max_superblock(spark, sf):
+    found = tables.superblocks(tables.block_maxima(postings(spark, sf)))
+    return found.select("term", "superblock", F.size("maxima").cast("long").alias("non_zero"), F.aggregate("maxima", F.lit(0).cast("long"), lambda s, x: s + x["offset"] * x["max_impact"]).alias("weighted"))
+
+
+def block_stats(spark, sf):
+    return tables.block_statistics(postings(spark, sf)).select("n_blocks", "terms_per_block", F.round("docs_per_term", 6).alias("docs_per_term"))
+
+
+def upper_bounds(spark, sf):
+    return ranking.upper_bounds(ranking.small(queries_tf(spark, sf)), tables.block_maxima(postings(spark, sf)))
+
+
+def bounds_raw(spark, sf):
+    """Bounds by way of the dense form of the maxima."""
+    p = postings(spark, sf)
+    last = spark.read.parquet(f"{sf}/documents.parquet").agg(F.max("doc_id")).first()[0]
+    known = tables.block_maxima(p).join(F.broadcast(queries_tf(spark, sf).select("term").distinct()), "term", "left_semi")
+    dense = tables.raw_maxima(known, (last or 0) // BSIZE + 1)
+    return ranking.upper_bounds(ranking.small(queries_tf(spark, sf)), tables.from_raw(dense))
+
+
+def seed(k):
+    return lambda spark, sf: ranking.seeds(ranking.small(queries_tf(spark, sf)), tables.term_statistics(postings(spark, sf)), k)
+
+
+def live(spark, sf):
+    return live_blocks(all_tables(spark, sf), ranking.small(queries_tf(spark, sf)), 10).select("qid", "pos", "block_id", "ub")
+
+
+def block_forward(spark, sf):
+    found = tables.forward_blocks(postings(spark, sf), BSIZE)
+    return found.select("block_id", "term", F.size("documents").cast("long").alias("n"), F.aggregate("documents", F.lit(0).cast("long"), lambda s, x: s + x["impact"]).alias("impacts"), F.aggregate("documents", F.lit(0).cast("long"), lambda s, x: s + x["local"]).alias("locals"))
+
+
+def dgap_roundtrip(spark, sf):
+    back = tables.decode_gaps(tables.encode_gaps(postings(spark, sf)))
+    return back.groupBy("term").agg(F.count("*").alias("n"), F.sum("doc_id").alias("sum_doc"), F.max("doc_id").alias("max_doc"), F.sum(F.col("impact").cast("long")).alias("sum_impact"))
+
+
+def top(k, **options):
+    light = not options.get("prune") and options.get("alpha", 1) >= 1 and options.get("beta", 1) >= 1
+    return lambda spark, sf: search((only_postings if light else all_tables)(spark, sf), queries_tf(spark, sf), k, **options)
+
+
+def topk_single(spark, sf):
+    return search(only_postings(spark, sf), queries_float(spark, sf), 10)
+
+
+def topk_two_waves(spark, sf):
+    return two_waves(all_tables(spark, sf), queries_tf(spark, sf), 10)
+
+
+def stop_positions(spark, sf):
+    t = all_tables(spark, sf)
+    q = ranking.small(queries_tf(spark, sf))
+    blocks = live_blocks(t, q, 10)
+    product = F.col("weight").cast("long") * F.col("impact").cast("long")
+    scored = t.postings.join(q, "term").join(blocks.select("qid", "block_id", "pos"), ["qid", "block_id"]).groupBy("qid", "doc_id", "pos").agg(F.sum(product).alias("score")).where("score > 0")
+    return ranking.stop_positions(scored, blocks, 10, 0.7)
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.withColumn("docno", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+
+
+def trec_run(spark, sf):
+    return run_lines(_named(top(10)(spark, sf)))
+
+
+def frame_results(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.length("text").cast("long").alias("n_chars"))
+    return _long(result_frame(_named(top(10)(spark, sf)), items), "rank").withColumn("score", F.col("score").cast("double"))
+
+
+def rank_cutoff(spark, sf):
+    """Of 1000 results the first 5: the cut is merged into the search."""
+    return top(1000)(spark, sf).where("rank <= 5")
+
+
+def impact_scale_float(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return lines.select("l_orderkey", "l_linenumber", scale_impacts(F.col("l_discount") * F.lit(2.9)).cast("long").alias("impact"))
+
+
+def inverted_equals_forward(spark, sf):
+    """Each term's postings by way of its list and by way of its blocks: differences, none expected, and the count."""
+    p = postings(spark, sf)
+    lists = tables.decode_gaps(tables.encode_gaps(p)).select("term", "doc_id", F.col("impact").cast("long").alias("impact"))
+    blocks = tables.forward_blocks(p, BSIZE).select("block_id", "term", F.explode("documents").alias("d")).select("term", (F.col("block_id") * BSIZE + F.col("d.local")).cast("long").alias("doc_id"), F.col("d.impact").cast("long").alias("impact"))
+    both = lists.withColumn("side", F.lit(1)).unionByName(blocks.withColumn("side", F.lit(-1))).groupBy("term", "doc_id", "impact").agg(F.sum("side").alias("d"), F.count("*").alias("n"))
+    return both.agg(F.coalesce(F.sum(F.abs("d")), F.lit(0)).cast("long").alias("differences"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("postings"))
+
+
+def query_lines(spark, sf):
+    """Queries by way of lines `qid: text`."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    lines = items.select(F.col("item_id").alias("q_ord"), F.concat(F.lit(" q"), F.col("item_id").cast("string"), F.lit(" : x:y "), F.regexp_replace("text", "\\s+", " ")).alias("line"))
+    return _long(text_weights(parse_lines(lines), ASCII), "weight")
+
+
+def order_part_search(spark, sf):
+    """Orders as vectors of their parts' quantities, searched by customers' baskets of parts: sparse vectors without text."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    vectors = tables.merged(items.select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term"), F.col("l_quantity").cast("int").alias("impact")))
+    vectors = vectors.withColumn("impact", F.least("impact", F.lit(TOP_IMPACT)))
+    asked = items.where("l_suppkey <= 10").groupBy(F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("term")).agg(F.count("*").alias("weight"))
+    return search(Tables(vectors, None, None), scale_batch(asked), 10)
+
+
+QUERIES = {
+    "term_stats": term_stats,
+    "query_weights_tf": lambda s, d: _long(queries_tf(s, d), "weight"),
+    "query_weights_float": lambda s, d: _long(queries_float(s, d), "weight"),
+    "query_lines": query_lines,
+    "query_known_terms": query_known_terms,
+    "query_beta_05": query_beta_05,
+    "block_max": block_max,
+    "block_max_superblock": block_max_superblock,
+    "block_stats": block_stats,
+    "upper_bounds": upper_bounds,
+    "bounds_raw_vs_compressed": bounds_raw,
+    "threshold_seed_k10": seed(10),
+    "threshold_seed_k100": seed(100),
+    "threshold_seed_k1000": seed(1000),
+    "threshold_seed_k5000": seed(5000),
+    "live_blocks": live,
+    "block_forward": block_forward,
+    "dgap_roundtrip": dgap_roundtrip,
+    "inverted_vs_forward_equal": inverted_equals_forward,
+    "topk_exact_10": top(10),
+    "topk_exact_100": top(100),
+    "topk_exact_1000": top(1000),
+    "topk_pruned_10": top(10, prune=True),
+    "topk_two_waves_10": topk_two_waves,
+    "topk_alpha_07": top(10, alpha=0.7),
+    "topk_beta_05": top(10, beta=0.5),
+    "topk_alpha_beta": top(10, alpha=0.7, beta=0.5),
+    "topk_compat_10": top(10, mode="compat", prune=True),
+    "topk_single_mode": topk_single,
+    "stop_positions_alpha_07": stop_positions,
+    "trec_run": trec_run,
+    "result_frame": frame_results,
+    "rank_cutoff_fused": rank_cutoff,
+    "impact_scale_float": impact_scale_float,
+    "order_part_search": order_part_search,
+}
+
+_SPLIT = "string_split_regex(text, '[ \\t\\n\\r\\f]+')"
+_DV = f"dv as (select doc_id, term, least(255, count(*))::bigint w, doc_id // {BSIZE} b from (select doc_id, unnest({_SPLIT}) term from documents) where term <> '' group by 1, 2)"
+_QR = f"qr as (select item_id qid, term, count(*)::bigint n from (select item_id, unnest({_SPLIT}) term from benchmark) where term <> '' group by 1, 2)"
+_QV = _QR + ", qv as (select qid, term, case when m > 32 then ceil(n::float * (32.0::double / m)::float)::bigint else n end qw from (select *, max(n) over (partition by qid) m from qr))"
+_QF = _QR + ", qf as (select qid, term, ceil(f * (32.0::double / m)::float)::bigint qw from (select *, max(f) over (partition by qid) m from (select qid, term, n::float * 0.7::float f from qr)))"
+_TS = "ts as (select term, count(*) df, max(w) max_impact, coalesce(max(w) filter (where r = 10), 0) k10, coalesce(max(w) filter (where r = 100), 0) k100, coalesce(max(w) filter (where r = 1000), 0) k1000 from (select *, row_number() over (partition by term order by w desc) r from dv) group by term)"
+_BM = "bm as (select term, b, max(w) m from dv where w > 0 group by 1, 2)"
+_UB = "ub as (select qid, b, sum(m * qw)::bigint ub from bm join kq using (term) group by 1, 2)"
+_KNOWN = "known as (select qid, term, qw from qv where term in (select term from dv))"
+
+
+def _beta(beta: float) -> str:
+    return f"kq as (select qid, term, qw from (select *, row_number() over (partition by qid order by qw desc, term) r, ceil((count(*) over (partition by qid))::float * {beta}::float) keep from known) where r <= keep)"
+
+
+def _sql_top(k: int, source: str = "qv", scores: str = "s") -> str:
+    return f"select qid, doc_id, score, rank from (select *, row_number() over (partition by qid order by score desc, doc_id) rank from {scores}) where rank <= {k}"
+
+
+def _sql_exact(k: int, q: str = _QV, name: str = "qv") -> str:
+    return f"with {_DV}, {q}, s as (select qid, doc_id, sum(w * qw)::bigint score from dv join {name} using (term) group by 1, 2 having sum(w * qw) > 0) {_sql_top(k)}"
+
+
+def _sql_live(beta: float | None, strict: bool = False) -> str:
+    kept = f"{_KNOWN}, {_beta(beta)}" if beta else f"{_KNOWN}, kq as (select * from known)"
+    sign = ">" if strict else ">="
+    return f"""{_DV}, {_QV}, {kept}, {_TS}, {_BM}, {_UB},
+      tau as (select qid, max(k10 * qw)::bigint tau from ts join kq using (term) group by 1),
+      live as (select qid, b, ub, tau, row_number() over (partition by qid order by ub desc, b) - 1 pos from ub join tau using (qid) where ub {sign} tau and ub > 0)"""
+
+
+def _sql_stops(alpha: float, k: int = 10) -> str:
+    """The stop rule as a condition on each position, by counting."""
+    return f"""sc as (select qid, doc_id, pos, any_value(tau) tau, sum(w * qw)::bigint score from dv join kq using (term) join live using (qid, b) group by 1, 2, 3),
+      hit as (select l.qid, l.pos, count(*) n from live l join sc on sc.qid = l.qid and sc.pos <= l.pos and sc.score::float > {alpha}::float * l.ub::float group by 1, 2),
+      stops as (select qid, min(pos)::bigint stop_pos from live left join hit using (qid, pos) where tau::float > {alpha}::float * ub::float or n >= {k} group by 1)"""
+
+
+def _sql_alpha(alpha: float, beta: float | None) -> str:
+    return f"with {_sql_live(beta)}, {_sql_stops(alpha)}, s as (select qid, doc_id, score from sc left join stops using (qid) where (stop_pos is null or pos <= stop_pos) and score >= tau) {_sql_top(10)}"
+
+
+_TOP10 = _sql_exact(10)
+_SEED = "with {dv}, {qv}, {ts} select qid, max({k} * qw)::bigint tau from ts join qv using (term) group by 1"
+
+ORACLE_SQL = {
+    "term_stats": f"with {_DV}, {_TS} select * from ts",
+    "query_weights_tf": f"with {_QV} select qid, term, qw weight from qv",
+    "query_weights_float": f"with {_QF} select qid, term, qw weight from qf",
+    "query_lines": "select 'q' || item_id qid, term, count(*) weight from (select item_id, unnest(string_split_regex('x:y ' || text, '[ \\t\\n\\r\\f]+')) term from benchmark) where term <> '' group by 1, 2",
+    "query_known_terms": f"with {_DV}, {_QV}, {_KNOWN} select qid, count(*) n_known from known group by 1",
+    "query_beta_05": f"with {_DV}, {_QV}, {_KNOWN}, {_beta(0.5)} select qid, term, qw weight from kq",
+    "block_max": f"with {_DV}, {_BM} select b::int block_id, count(*) n_terms, sum(m)::bigint sum_max, max(m) max_max from bm group by b",
+    "block_max_superblock": f"with {_DV}, {_BM} select term, (b // 256)::int superblock, count(*) non_zero, sum((b % 256) * m)::bigint weighted from bm group by 1, 2",
+    "block_stats": f"with {_DV}, p as (select b, term, count(*) d from dv group by 1, 2), x as (select b, count(*) t, avg(d) d from p group by 1) select count(*) n_blocks, (sum(t) // count(*))::bigint terms_per_block, round(avg(d), 6) docs_per_term from x",
+    "upper_bounds": f"with {_DV}, {_QV}, kq as (select * from qv), {_BM}, {_UB} select qid, b::int block_id, ub from ub",
+    "bounds_raw_vs_compressed": f"with {_DV}, {_QV}, kq as (select * from qv), {_BM}, {_UB} select qid, b::int block_id, ub from ub",
+    "threshold_seed_k10": _SEED.format(dv=_DV, qv=_QV, ts=_TS, k="k10"),
+    "threshold_seed_k100": _SEED.format(dv=_DV, qv=_QV, ts=_TS, k="k100"),
+    "threshold_seed_k1000": _SEED.format(dv=_DV, qv=_QV, ts=_TS, k="k1000"),
+    "threshold_seed_k5000": f"with {_QV} select qid, 0::bigint tau from qv group by 1",
+    "live_blocks": f"with {_sql_live(None)} select qid, pos, b::int block_id, ub from live",
+    "block_forward": f"with {_DV} select b::int block_id, term, count(*) n, sum(w)::bigint impacts, sum(doc_id % {BSIZE})::bigint locals from dv group by 1, 2",
+    "dgap_roundtrip": f"with {_DV} select term, count(*) n, sum(doc_id)::bigint sum_doc, max(doc_id) max_doc, sum(w)::bigint sum_impact from dv group by 1",
+    "inverted_vs_forward_equal": f"with {_DV} select 0::bigint differences, 2 * count(*) postings from dv",
+    "topk_exact_10": _TOP10,
+    "topk_exact_100": _sql_exact(100),
+    "topk_exact_1000": _sql_exact(1000),
+    "topk_pruned_10": _TOP10,
+    "topk_two_waves_10": _TOP10,
+    "topk_alpha_07": _sql_alpha(0.7, None),
+    "topk_beta_05": f"with {_DV}, {_QV}, {_KNOWN}, {_beta(0.5)}, s as (select qid, doc_id, sum(w * qw)::bigint score from dv join kq using (term) group by 1, 2) {_sql_top(10)}",
+    "topk_alpha_beta": _sql_alpha(0.7, 0.5),
+    "topk_compat_10": f"with {_sql_live(None, True)}, {_sql_stops(1.0)}, last as (select qid, max(pos) last from live group by 1), s as (select qid, doc_id, score from sc join last using (qid) left join stops using (qid) where (stop_pos is null or pos <= stop_pos) and pos < last and score > tau) {_sql_top(10)}",
+    "topk_single_mode": _sql_exact(10, _QF, "qf"),
+    "stop_positions_alpha_07": f"with {_sql_live(None)}, {_sql_stops(0.7)} select qid, stop_pos from stops",
+    "trec_run": f"select qid, rank, qid || ' Q0 d' || doc_id || ' ' || rank || ' ' || score || ' quillon' \"value\" from ({_TOP10})",
+    "result_frame": f"select t.qid, length(text)::bigint n_chars, 'd' || doc_id docno, score::double score, rank - 1 rank from ({_TOP10}) t join benchmark on item_id = t.qid",
+    "rank_cutoff_fused": _sql_exact(5),
+    "impact_scale_float": "select l_orderkey, l_linenumber, trunc(l_discount * 2.9::double * 100.0::double)::bigint impact from lineitem",
+    "order_part_search": "with dv as (select l_orderkey doc_id, l_partkey term, least(255, sum(trunc(l_quantity)::bigint)) w from lineitem group by 1, 2), q as (select l_suppkey qid, l_partkey term, count(*) n from lineitem where l_suppkey <= 10 group by 1, 2), qv as (select qid, term, case when m > 32 then ceil(n::float * (32.0::double / m)::float)::bigint else n end qw from (select *, max(n) over (partition by qid) m from q)), s as (select qid, doc_id, sum(w * qw)::bigint score from dv join qv using (term) group by 1, 2) " + _sql_top(10),
+}

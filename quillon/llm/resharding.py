@@ -80,6 +80,8 @@ def transfers(blocks: list[tuple[int, int, int, int]], n_new: int) -> tuple[dict
     New shards must take the even share first, so the arc for the one row more comes at a cost no moves can outweigh.
     """
     total = sum(rows for _, _, rows, _ in blocks)
+    if not total:
+        return {}, {}
     share, more = divmod(total, n_new)
     heavy = 1 + sum(size for *_, size in blocks)
     net, stay, drawn = Flow(), {}, {}

@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
 Base statistics of a text are counted with array and string functions. Five rules (share of symbols, share of repeated
-lines, mean word length above or below, share of capitals) get their cutoffs from labelled documents: of a fixed grid, the strictest
-cutoff of each stratum (length class) and rule whose rate of false rejection is proved to be at most ``risk``. Proof is
-the exact binomial tail ``P(Bin(n, risk) <= k) <= delta / tests`` (the Clopper-Pearson bound), where n good documents of
-the stratum lie in the holdout, k of them are rejected, and tests is the number of all cutoffs tried (Bonferroni). A
-stratum and rule without such a cutoff rejects nothing. A document is kept if neither the base nor a cutoff rejects it.
+lines, mean word length above or below, share of capitals) get their cutoffs from labelled documents: of a fixed grid,
+the strictest cutoff of each stratum (length class) and rule whose rate of false rejection is proved to be at most
+``risk`` / rules, so that all rules together falsely reject at most ``risk`` of a stratum. Proof is the exact binomial
+tail ``P(Bin(n, risk / rules) <= k) <= delta / (strata * rules)`` (the Clopper-Pearson bound with Bonferroni's
+correction), where n good documents of the stratum lie in the holdout and the cutoff rejects k of them. A rule's cutoffs
+are tested from the laxest on in a fixed sequence, and as a stricter one never rejects fewer, its first failure is the
+last to be looked at: within a rule no further correction is due. Without a proved cutoff a rule rejects nothing. A
+document is kept if neither the base nor a cutoff rejects it.
 
 Defined results: a null, empty or wordless text has zero counts and fails the base; null labels and labels without a
 document are no evidence; repeated documents get a row each, and count once as evidence for each of their labels; tables
@@ -109,12 +112,12 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
     """One row for each stratum, with the cutoff of each rule or null; at most len(LENGTHS) + 1 rows."""
-    tests = (len(LENGTHS) + 1) * sum(len(grid) for _, grid in RULES.values())
+    tests = (len(LENGTHS) + 1) * len(RULES)
     good = labels.where("quality = 1").select("doc_id")
     held = good.join(measured.where(~F.col("base_failed")).select("doc_id", stratum().alias("stratum"), *[m.alias(r) for r, m in measures().items()]), "doc_id")
     rejected = [F.sum(F.coalesce((F.col(r) > c if sign > 0 else F.col(r) < c).cast("long"), F.lit(0))).alias(f"{r}_{c}") for r, (sign, grid) in RULES.items() for c in grid]
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *rejected)
-    proved = lambda r, c: log_binomial_tail(F.col("n"), F.col(f"{r}_{c}"), risk) <= math.log(delta / tests)
+    proved = lambda r, c: log_binomial_tail(F.col("n"), F.col(f"{r}_{c}"), risk / len(RULES)) <= math.log(delta / tests)
     return counts.select("stratum", "n", *[F.coalesce(*[F.when(proved(r, c), F.lit(float(c))) for c in grid]).alias(f"cut_{r}") for r, (_, grid) in RULES.items()])
 
 
@@ -137,7 +140,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(risk: float = 0.05, delta: float = 0.1) -> str:
-    tests = (len(LENGTHS) + 1) * sum(len(grid) for _, grid in RULES.values())
+    tests, risk = (len(LENGTHS) + 1) * len(RULES), risk / len(RULES)
     values = {"symbols": ("n_symbols", "word_chars"), "lines": ("n_dup_lines", "n_lines"), "long_words": ("word_chars", "n_words"), "short_words": ("word_chars", "n_words"), "capitals": ("capitals", "word_chars")}
     stat = ", ".join(f"case when {b} > 0 then 1000.0::double * {a} / {b} end m_{r}" for r, (a, b) in values.items())
     strata = "case " + " ".join(f"when n_words < {x} then {i}" for i, x in enumerate(LENGTHS)) + f" else {len(LENGTHS)} end"

@@ -19,10 +19,10 @@ ASCII = "[ \\t\\n\\r\\f]+"
 BSIZE = 32
 
 
-def postings(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, term, impact, block_id)"""
+def postings(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, impact, block_id), of the terms of `only` if it is given"""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    counts = term_counts(docs, "doc_id", pattern=ASCII, name="n")
+    counts = term_counts(docs, "doc_id", pattern=ASCII, name="n", only=only)
     return tables.with_blocks(counts.select("doc_id", "term", F.least(F.lit(TOP_IMPACT), "n").cast("smallint").alias("impact")), BSIZE)
 
 
@@ -46,8 +46,9 @@ def all_tables(spark, sf) -> Tables:
     return Tables(p, tables.term_statistics(p), tables.block_maxima(p))
 
 
-def only_postings(spark, sf) -> Tables:
-    return Tables(postings(spark, sf), None, None)
+def only_postings(spark, sf, queries: DataFrame) -> Tables:
+    """Enough for a search without pruning: terms that no query has are dropped before they are counted."""
+    return Tables(postings(spark, sf, ranking.small(queries.select("term").distinct())), None, None)
 
 
 def _long(df: DataFrame, *names: str) -> DataFrame:
@@ -58,14 +59,19 @@ def term_stats(spark, sf):
     return _long(tables.term_statistics(postings(spark, sf)), "df", "max_impact", "k10", "k100", "k1000")
 
 
+def known(spark, sf):
+    """Query terms that some document has."""
+    asked = queries_tf(spark, sf)
+    vocabulary = postings(spark, sf, ranking.small(asked.select("term").distinct())).select("term").distinct()
+    return ranking.known_terms(asked, vocabulary)
+
+
 def query_known_terms(spark, sf):
-    vocabulary = postings(spark, sf).select("term").distinct()
-    return ranking.known_terms(queries_tf(spark, sf), vocabulary).groupBy("qid").agg(F.count("*").alias("n_known"))
+    return known(spark, sf).groupBy("qid").agg(F.count("*").alias("n_known"))
 
 
 def query_beta_05(spark, sf):
-    known = ranking.known_terms(queries_tf(spark, sf), postings(spark, sf).select("term").distinct())
-    return _long(ranking.keep_heaviest(known, 0.5).select("qid", "term", "weight"), "weight")
+    return _long(ranking.keep_heaviest(known(spark, sf), 0.5).select("qid", "term", "weight"), "weight")
 
 
 def block_max(spark, sf):
@@ -114,11 +120,17 @@ def dgap_roundtrip(spark, sf):
 
 def top(k, **options):
     light = not options.get("prune") and options.get("alpha", 1) >= 1 and options.get("beta", 1) >= 1
-    return lambda spark, sf: search((only_postings if light else all_tables)(spark, sf), queries_tf(spark, sf), k, **options)
+
+    def run(spark, sf):
+        asked = queries_tf(spark, sf)
+        return search(only_postings(spark, sf, asked) if light else all_tables(spark, sf), asked, k, **options)
+
+    return run
 
 
 def topk_single(spark, sf):
-    return search(only_postings(spark, sf), queries_float(spark, sf), 10)
+    asked = queries_float(spark, sf)
+    return search(only_postings(spark, sf, asked), asked, 10)
 
 
 def topk_two_waves(spark, sf):

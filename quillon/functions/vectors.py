@@ -27,9 +27,12 @@ def split_first(text, delimiter: str = ":") -> tuple[Column, Column]:
     return F.get(both, 0), F.get(both, 1)
 
 
-def term_counts(texts: DataFrame, key: str, text: str = "text", pattern: str = r"(?U)\s+", name: str = "weight") -> DataFrame:
-    """(key, term, count) of the tokens of each text."""
-    return texts.select(key, F.explode(tokens(F.col(text), pattern)).alias("term")).groupBy(key, "term").agg(F.count("*").alias(name))
+def term_counts(texts: DataFrame, key: str, text: str = "text", pattern: str = r"(?U)\s+", name: str = "weight", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, count) of the tokens of each text; with `only`, a table of terms, others are dropped before the count."""
+    found = texts.select(key, F.explode(tokens(F.col(text), pattern)).alias("term"))
+    if only is not None:
+        found = found.join(only, "term", "left_semi")
+    return found.groupBy(key, "term").agg(F.count("*").alias(name))
 
 
 def ceil_scaled(weight, scale) -> Column:

@@ -10,9 +10,9 @@ The global order of n-grams is (frequency class, hash), rare ones first. It is c
    For candidate pairs each fragment's overlap is counted by itself and the counts are summed per pair.
 
 Candidates share an n-gram of their prefixes. Only components are wanted, so a bucket (a prefix n-gram with its
-documents) does not make all its pairs: first each document is held against the bucket's smallest document (its hub).
-While many pairs of a bucket are still in different components, another hub is held against the other components; at
-the end all pairs that are still in different components are held against each other. A pair is left out of a bucket
+documents) does not make all its pairs. While many pairs of a bucket are in different components, one of its documents
+(its hub, another one each turn, for ``more_hubs`` turns at most) is held against those of other components; at the end
+all pairs that are still in different components are held against each other. A pair is left out of a bucket
 where its places in the global order exclude a link with this n-gram as the first common one; the bucket of the pair's
 first common n-gram has it otherwise. No link between different components is skipped.
 
@@ -225,7 +225,7 @@ def _gather_chunk(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_SETS_ARROW)
 
 
-def ngram_sets(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, chunk_grams: int = 1 << 20, n_parts: int | None = None) -> DataFrame:
+def ngram_sets(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, chunk_grams: int = 1 << 19, n_parts: int | None = None) -> DataFrame:
     """Every document with its set's size and, if it may have a partner, its shared n-grams in the global order."""
     spark = documents.sparkSession
     ship(spark)
@@ -265,7 +265,7 @@ def _overlaps(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
-def components(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, more_hubs: int = 2, **options) -> DataFrame:
+def components(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, more_hubs: int = 3, **options) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     sets = materialise(ngram_sets(documents, text, n, percent, **options), "sets")
     alive = sets.where(F.col("prefix").isNotNull())
@@ -278,10 +278,12 @@ def components(documents: DataFrame, text: str = "text", n: int = 5, percent: in
     # a place counts the n-grams before it in the global order, those nobody shares first
     entries = reps.select(F.posexplode("prefix").alias("i", "gram"), F.col("doc_id").alias("x"), "n", (F.col("n") - F.col("shared") + F.col("i")).alias("place")).drop("i")
     entries = entries.select("gram", "x", "n", "place")
-    seen = entries.groupBy("gram").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("s2"), F.sum("place").alias("order"), F.min(F.struct("x", "n", "place")).alias("hub"))
+    seen = entries.groupBy("gram").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("s2"), F.sum("place").alias("order"), F.min("n").alias("least"))
     # buckets of the same documents make the same pairs: the first of them in the global order is enough
-    buckets = seen.where("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("order", "gram", "hub")).alias("k")).select("k.gram", F.col("k.hub.x").alias("hub"))
-    placed = materialise(entries.join(buckets, "gram"), "buckets")
+    buckets = seen.where("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("order", "gram", "least")).alias("k")).select("k.gram", "k.least")
+    # with this n-gram as the first common one, only a partner of so few n-grams could link; if all have more, the entry ends here
+    partner = F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent) - F.col("n")
+    placed = materialise(entries.join(buckets, "gram").where(partner >= F.col("least")).drop("least"), "buckets")
 
     side = lambda d, k: d.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in d.columns if c != "gram"])
     ahead = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
@@ -292,27 +294,28 @@ def components(documents: DataFrame, text: str = "text", n: int = 5, percent: in
         crossed = one.join(two, (one["gram"] == two["gram"]) & within & also).select(*pair).distinct()
         crossed = materialise(crossed, "crossed")
         held = crossed.join(_overlaps(crossed.select("a", "b"), pieces), ["a", "b"])
-        return held.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+        return materialise(held.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links")
 
-    hubs = placed.where("x = hub").drop("hub")
-    stars = linked(side(hubs, "a"), side(placed.drop("hub"), "b"), F.lit(True))
-    known = materialise(connected_components(stars.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))), "known")
-    placed = placed.drop("hub")
+    known = materialise(connected_components(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "known")
     for turn in range(more_hubs + 1):
         own = placed.join(known.select(F.col("node").alias("x"), F.col("component").alias("own")), "x", "left").withColumn("own", F.coalesce("own", "x"))
         counts = own.groupBy("gram", "own").agg(F.count("*").alias("c")).groupBy("gram").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("k > 1")
         rest = materialise(own.join(counts.select("gram", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"), "m"), "gram"), "open")
         size = rest.agg(F.coalesce(F.sum(F.col("pairs") / F.col("m")), F.lit(0)).alias("pairs"), F.count("*").alias("rows")).first()
-        last = turn == more_hubs or size["pairs"] <= 4 * size["rows"]
+        last = turn == more_hubs or size["pairs"] <= 2 * size["rows"]
         rest = rest.drop("pairs", "m")
         apart = F.col("own_a") != F.col("own_b")
         if last:
             found = linked(side(rest, "a"), side(rest, "b"), apart & (F.col("x_a") < F.col("x_b")))
         else:
-            # another hub for each open bucket, held against the documents of the other components
-            hub = rest.groupBy("gram").agg(F.min(F.struct(F.xxhash64("x", F.lit(turn)).alias("h"), "x", "n", "place", "own")).alias("hub")).select("gram", "hub.*").drop("h")
+            # a hub for each open bucket, another one each turn, held against the documents of the other components
+            # one with few n-grams before this one, as these have least of their own
+            early = F.col("place") if turn == 0 else F.floor(16 * F.col("place") / F.col("n"))
+            pick = F.struct(early.cast("long").alias("p"), (F.col("x") if turn == 0 else F.xxhash64("x", F.lit(turn))).alias("h"), "x", "n", "place", "own")
+            hub = rest.groupBy("gram").agg(F.min(pick).alias("hub")).select("gram", "hub.*").drop("p", "h")
             found = linked(side(hub, "a"), side(rest, "b"), apart)
-        known = _merge(known, found)
+        if not found.isEmpty():
+            known = _merge(known, found)
         if last:
             break
     return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Rows of text are worked on in slices of about so many bytes, so that memory does not follow the Arrow batch.
 SLICE_BYTES = 1 << 20
+BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -112,8 +113,13 @@ def put_aside(df: DataFrame, names) -> tuple[DataFrame, object]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the Python workers, for clusters where it is not installed; once a session."""
+    """Hands this package to the Python workers, for clusters where it is not installed; once a session.
+
+    Texts are long, so rows go to Python in batches of BATCH_ROWS, unless the session asks for another number.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCHES) == "10000":  # the default, meant for short rows
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
     if getattr(context, "_quillon_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

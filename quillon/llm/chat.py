@@ -210,7 +210,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(table.unionByName(probe)))
+    return read_back(format_conversations(table.unionByName(probe))).drop("n_tokens", "loss_tokens")
 
 
 SQL = f"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,10 @@ class IndexHandle:
         SparseIndex.from_vectors(vectors, bsize, scale=scale_float, compress_range=compress_range, impacts=impacts).save(self.path)
         return self
 
+    def indexer(self, bsize: int = 32, compress_range: bool = False, scale_float: float = 100.0, impacts: str = "error") -> Callable[[DataFrame], IndexHandle]:
+        """The index method with its options set; to be called with the vectors."""
+        return partial(self.index, bsize=bsize, compress_range=compress_range, scale_float=scale_float, impacts=impacts)
+
     def load_into_memory(self) -> Searcher:
         if self._searcher is None:
             self._searcher = Searcher(self.spark, self.path)

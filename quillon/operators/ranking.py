@@ -12,6 +12,7 @@ from quillon.functions.vectors import kth_column
 
 #: Rows up to which a query table is sent to every executor; a row is under 100 bytes.
 BROADCAST_ROWS = 500_000
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -90,5 +91,8 @@ def stop_positions(scored: DataFrame, live: DataFrame, k: int, alpha: float) ->
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(qid, doc_id, score, rank from 1): best first, ties by doc_id. The rank filter is pushed below the shuffle."""
+    conf = scores.sparkSession.conf
+    if k > int(conf.get(GROUP_LIMIT)):  # else Spark does not push it
+        conf.set(GROUP_LIMIT, str(k))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

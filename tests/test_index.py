@@ -116,7 +116,7 @@ def test_handle_and_retriever(spark, vectors, tmp_path):
     frame = spark.createDataFrame([(1, "first", {"a": 5.3, "c": 1.1}), (2, "second", {"d": 1.0})], "qid int, note string, query_toks map<string,float>")
     with quillon.IndexHandle(spark, str(tmp_path / "h")) as handle:
         assert not handle.built()
-        handle.index(vectors)
+        handle.indexer(bsize=32)(vectors)
         with pytest.raises(FileExistsError):
             handle.index(vectors)
         rows = handle.transform(frame).orderBy("qid", "rank").collect()

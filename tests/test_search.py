@@ -131,6 +131,11 @@ def test_bounds_hold(spark):
 
 def test_rank_filter_goes_below_the_shuffle(spark):
     t = make(spark, C1, 1)
-    plan = search(t, lines(spark, "q: a"), 10)._jdf.queryExecution().executedPlan().toString()
+    for k in (10, 5000):
+        check_plan(search(t, lines(spark, "q: a"), k))
+
+
+def check_plan(found):
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan

@@ -68,7 +68,7 @@ class Model:
     def score(self, text: str | None) -> float:
         if self.bias is None:
             return 0.0
-        if len(self.known) > 500_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         known, present = self.known, {}
         for w in words(text):
@@ -98,7 +98,7 @@ def _select(sample: DataFrame, n_features: int) -> list[str]:
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update({f for w in words(text) for f in features(w)})
-                if len(seen[0]) + len(seen[1]) > 500_000:
+                if len(seen[0]) + len(seen[1]) > 200_000:
                     yield flushed(seen)
         yield flushed(seen)
 

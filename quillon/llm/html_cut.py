@@ -47,6 +47,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promoted promotion recommended related replies respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar warning widget".split()
 )
+#: Beside these a name tells of the whole layout (page-with-sidebar, no-comments), not of the element.
+LAYOUT_NAMES = frozenset("container has layout no page with without wrapper".split())
 GOOD_NAMES = frozenset("article articlebody body content entry main maincontent page post prose story text".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -64,7 +66,7 @@ class Element:
         self.landmark = inherit.landmark or tag in LANDMARKS
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style") or ""))
         self.never = inherit.never or tag in NEVER or hidden or (tag == "header" and not inherit.landmark)
-        self.bad = inherit.bad + (tag not in ("body", "html") and bool(names & BAD_NAMES))
+        self.bad = inherit.bad + (tag not in ("body", "html") and bool(names & BAD_NAMES) and not names & LAYOUT_NAMES)
         self.good = inherit.good + (tag in ("div", "section", "td") and bool(names & GOOD_NAMES) and not names & BAD_NAMES)
         self.link = inherit.link or tag == "a"
 

@@ -23,6 +23,10 @@ def test_page_without_article():
     assert [b.split()[0] for b in text.split("\n\n")] == ["word", "Short.", "another"]
 
 
+def test_names_of_the_layout():
+    assert html_cut.main_text('<body class="has-comments"><div class="page-with-sidebar"><article><p>Words that stay.</p></article></div></body>') == "Words that stay."
+
+
 def test_edges(spark):
     for page in (None, "", "   ", "<", "<p>", "</p></div>", "<!-- x", "<script>x", "<article></article>"):
         assert html_cut.main_text(page) == ""

@@ -2,7 +2,9 @@
 
 Features are the words of a text and their beginnings of 3 to 5 letters, present or not. The statistics of features and
 the weights are learned from a sample of labelled documents (``per_class`` rows of each label at most, expected; never
-rows whose crc32(doc_id as text) mod 4 is 2). The ``n_features`` features that tell most of label 1 are kept.
+rows whose crc32(doc_id as text) mod 4 is 2). The ``n_features`` features that tell most of label 1 are kept. Where a
+label is sampled, its counts are scaled up by its share, and the bias is moved to the labels' true odds, so that scores
+do not follow the sample's shares.
 
 For each labelled text that names a group (an identity term), the same text is made with the other terms of its set in
 that place; the weights minimise the log loss plus ``weight / 2 * (score - score of the changed text)^2`` for each of
@@ -48,6 +50,8 @@ IDENTITY = (
 )
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5)
+#: Into how many parts the hash range of doc_id is cut for sampling.
+HASHES = 1 << 20
 _SWAPS = {term: [t for t in group if t != term] for group in IDENTITY for term in group}
 
 
@@ -80,18 +84,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(present.values())), -700, 700))))
 
 
-def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """Labelled texts, about per_class of each label: a share of the hash range of doc_id, the same at each run."""
+def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """Labelled texts, about per_class of each label, and the share taken of each label's rows.
+
+    A share is one of the hash range of doc_id, the same at each run.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
-    part = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
+    cut = {label: min(HASHES, -(-per_class * HASHES // max(1, counts.get(label, 0)))) for label in (0, 1)}
+    part = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(HASHES)) < F.when(F.col("toxic") == 1, cut[1]).otherwise(cut[0]))
     # about 2 * per_class rows at most, whatever the size of the tables
-    return materialise(documents.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("toxic", "text"), "toxicity")
+    sample = materialise(documents.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("toxic", "text"), "toxicity")
+    return sample, {label: n / HASHES for label, n in cut.items()}
 
 
-def _select(sample: DataFrame, n_features: int) -> list[str]:
-    """The features with the largest log-likelihood ratio for label 1, from the whole sample."""
+def _select(sample: DataFrame, n_features: int, share: dict[int, float]) -> list[str]:
+    """The features with the largest log-likelihood ratio for label 1, from the whole sample, counted as among all labels."""
 
     def count(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -110,25 +118,26 @@ def _select(sample: DataFrame, n_features: int) -> list[str]:
         return out
 
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = total.get(0, 0), total.get(1, 0)
-    counts = sample.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+    n0, n1 = total.get(0, 0) / share[0], total.get(1, 0) / share[1]
+    seen = sample.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = seen.select("feature", F.col("n1").alias("rows"), (F.col("n0") / share[0]).alias("a"), (F.col("n1") / share[1]).alias("b"))
     expected0, expected1 = (F.col("a") + F.col("b")) * n0 / (n0 + n1), (F.col("a") + F.col("b")) * n1 / (n0 + n1)
     gain = F.col("b") * F.log(F.col("b") / expected1) + F.when(F.col("a") > 0, F.col("a") * F.log(F.col("a") / expected0)).otherwise(0.0)
-    best = counts.where((F.col("b") >= 3) & (F.col("b") > 2 * expected1 * n0 / (n0 + n1))).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(n_features)
+    best = counts.where((F.col("rows") >= 3) & (F.col("b") > 2 * expected1 * n0 / (n0 + n1))).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(n_features)
     return [r["feature"] for r in best.collect()]
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, n_features: int = 512, weight: float = 1.0, ridge: float = 0.3) -> Model:
     """Learns a Model. The driver gets n_features names and, of the sample, which of these each text has."""
     ship(documents.sparkSession)
-    sample = _sample(documents, labels, per_class)
+    sample, share = _sample(documents, labels, per_class)
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not total:
         return Model(None, {})
-    prior = (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
+    prior = (total.get(1, 0) / share[1] + 0.5) / (sum(n / share[label] for label, n in total.items()) + 1)
     if len(total) == 1:
         return Model(float(np.log(prior / (1 - prior))), {})
-    chosen = list(dict.fromkeys([*_select(sample, n_features), *[f"={t}" for t in _SWAPS]]))
+    chosen = list(dict.fromkeys([*_select(sample, n_features, share), *[f"={t}" for t in _SWAPS]]))
     place = {f: i for i, f in enumerate(chosen)}
 
     def rows(batches):
@@ -153,9 +162,9 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, n_featur
             difference[other] -= 1
             pairs.append(difference)
     y = np.array([r["toxic"] for r in got], np.float32)
-    # both labels weigh as much as they do among all labels, whatever the sample's shares
     w = _minimise(x, y, _gram(pairs, len(chosen) + 1) * weight, ridge)
-    return Model(float(w[-1]), {f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-6})
+    # the sample's odds of label 1 are those among all labels times share[1] / share[0]; only the bias carries them
+    return Model(float(w[-1] + np.log(share[0] / share[1])), {f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-6})
 
 
 def _gram(pairs: list[np.ndarray], size: int) -> np.ndarray:

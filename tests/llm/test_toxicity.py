@@ -66,3 +66,21 @@ def test_empty_documents_and_clashes(spark):
 def test_long_text():
     model = toxicity.Model(-2.0, {"=bad": 5.0})
     assert model.score("good " * 200_000 + "bad") > 0.9 > 0.2 > model.score("good " * 200_000)
+
+
+def test_scores_do_not_follow_the_samples_shares(spark):
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(4000):
+        toxic = rnd.random() < 0.08
+        said = [w for w, p in (("idiot", 0.5 * toxic), ("scum", 0.8 if toxic else 0.3)) if rnd.random() < p]
+        rows.append((i, " ".join(["some", "words", *said])))
+        labels.append((i, int(toxic)))
+    frame, table = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rates, means = [], []
+    for per_class in (50, 6000):
+        got = toxicity.classify(frame, table, per_class=per_class).collect()
+        rates.append(sum(r["predicted"] for r in got) / len(got))
+        means.append(sum(r["score"] for r in got) / len(got))
+    assert 0.02 < min(rates) and max(rates) - min(rates) < 0.03
+    assert max(means) - min(means) < 0.05

@@ -1,10 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template a set of words. Words are ordered by their frequency in the corpus, rare
-ones first. A template of k words meets the threshold in a block if the block has at least ``ceil(threshold * k)`` of
+A block is a line of a document or, so that wrapped notices are found, a window of as many words as the template's notice
+has, and one more for each that the threshold lets miss, wherever lines and paragraphs end. Wider blocks, as whole
+paragraphs, are not compared: a stray "nd" in them would make cc-by-nd of a notice of cc-by-nc. A template is a set of words. Words are ordered by their
+frequency in the corpus, rare ones first. A template of k words meets the threshold in a block if the block has at least ``ceil(threshold * k)`` of
 them, so it must have one of the template's first ``k - ceil(threshold * k) + 1`` words (prefix filter); a block of
 fewer words than that is too short (length filter); and while the template's words are looked up in order, it is given
-up when the words left cannot make up the overlap (positional filter). Every block of every document is compared.
+up when the words left cannot make up the overlap (positional filter). Every block of every document is compared;
+windows with the templates that the document as a whole meets. Of windows that overlap one with most of the template is
+reported, with the line it begins in, if no line in it or around it has as much.
 
 The base phrases are looked for by themselves, as words in sequence, and keep their labels.
 
@@ -15,8 +19,10 @@ those with its names are overwritten.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Mapping
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,7 +92,7 @@ class Matcher:
             need = least(len(order), percent)
             for w in order[: len(order) - need + 1]:
                 self.prefix.setdefault(w, []).append(len(self.templates))
-            self.templates.append((label, order, need))
+            self.templates.append((label, order, need, len(words(notice)) + len(order) - need))
         self.rare = frozenset(self.prefix)
 
     def places(self, folded: bytes) -> tuple[int, list[int], set[str]]:
@@ -107,12 +113,12 @@ class Matcher:
             done = at
         return max(0, folded.count(b" ") - 1), numbers, labels
 
-    def block(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """Templates whose threshold a block meets, with their containment."""
+    def block(self, block: list[bytes]) -> list[tuple[int, float]]:
+        """Templates (numbers) whose threshold a block meets, with their containment."""
         have = set(block)
         hits = []
         for t in {t for w in self.rare & have for t in self.prefix[w]}:
-            label, order, need = self.templates[t]
+            _, order, need, _ = self.templates[t]
             if len(have) < need:
                 continue
             overlap = 0
@@ -121,9 +127,64 @@ class Matcher:
                 if overlap + len(order) - i - 1 < need:
                     break
             else:
-                hits.append((label, overlap / len(order)))
+                hits.append((t, overlap / len(order)))
         return hits
 
+    def blocks(self, data: bytes, every: list[bytes]) -> list[tuple[int, int, float]]:
+        """(template, line, containment) of the lines and windows of a text that meet a threshold. every: its words."""
+        whole = self.block(every)
+        if not whole:
+            return []
+        lines = data.split(b"\n")
+        split = [line.translate(FOLD).split() for line in lines]
+        starts = [0, *accumulate(map(len, split))]
+        found, by_line = [], {}  # by_line: by template, first and last + 1 word of the lines found, and their containment
+        for number, line in enumerate(split):
+            for t, containment in self.block(line):
+                found.append((t, number, containment))
+                by_line.setdefault(t, []).append((starts[number], starts[number + 1], containment))
+        for t, _ in whole if len(lines) > 1 else ():
+            for a, b, containment in self.windows(t, every):
+                if not any(x >= containment for x in _nested(by_line.get(t, []), a, b)):
+                    found.append((t, bisect_right(starts, a) - 1, containment))
+        return found
+
+    def windows(self, t: int, every: list[bytes]):
+        """[first, last) words and containment of the windows that meet a template's threshold: of each run of windows
+        that overlap, the first one with most, cut to the template's words in it."""
+        _, order, need, size = self.templates[t]
+        known = set(order)
+        mine = [(i, w) for i, w in enumerate(every) if w in known]
+        count: dict[bytes, int] = {}
+        low, best = 0, None
+        for i, w in mine:
+            count[w] = count.get(w, 0) + 1
+            while mine[low][0] <= i - size:
+                gone = mine[low][1]
+                count[gone] -= 1
+                if not count[gone]:
+                    del count[gone]
+                low += 1
+            if best and mine[low][0] >= best[1]:
+                yield best
+                best = None
+            if len(count) >= need and (best is None or len(count) / len(order) > best[2]):
+                best = (mine[low][0], i + 1, len(count) / len(order))
+        if best:
+            yield best
+
+
+def _nested(seen: list[tuple[int, int, float]], a: int, b: int):
+    """Containments of the blocks seen, which are in order and apart, that lie in [a, b) or around it."""
+    i = bisect_left(seen, (a,))
+    if i and seen[i - 1][1] >= b:
+        yield seen[i - 1][2]
+    while i < len(seen) and seen[i][0] < b:
+        c, d, containment = seen[i]
+        if d <= b or c == a:
+            yield containment
+        i += 1
+
 
 def word_frequencies(documents: DataFrame, vocabulary: frozenset[bytes], text: str = "text") -> dict[bytes, int]:
     """How often each word of the templates occurs in all documents. At most len(vocabulary) rows reach the driver."""
@@ -170,11 +231,11 @@ def _row(matcher: Matcher, data: bytes) -> tuple:
     n, places, base = matcher.places(b" " + b" ".join(all_words) + b" " if all_words else b"")
     blocks, labels, score = [], set(base), 0.0
     if not matcher.rare.isdisjoint(all_words):
-        for number, line in enumerate(data.split(b"\n")):
-            for label, containment in matcher.block(line.translate(FOLD).split()):
-                blocks.append({"label": label, "line": number, "containment": containment})
-                labels.add(label)
-                score = max(score, containment)
+        for t, number, containment in matcher.blocks(data, all_words):
+            label = matcher.templates[t][0]
+            blocks.append({"label": label, "line": number, "containment": containment})
+            labels.add(label)
+            score = max(score, containment)
     if base:
         score = 1.0
     return n, len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks

@@ -53,3 +53,44 @@ def test_clashing_columns_are_replaced(spark):
     frame = spark.createDataFrame([(1, "x cc by", "mine", 7)], "doc_id long, text string, labels string, other int")
     row = licenses.scan(frame).first()
     assert (row["labels"], row["other"]) == ("cc-by", 7)
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the"
+BSD = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+
+
+@pytest.mark.parametrize(
+    "text, labels, line",
+    [
+        (f"Copyright\n\n{MIT} Software)\n\nx", "mit", 2),
+        (f"/*\n{BSD}\n *\n */\nint x;", "bsd", 1),
+        (BSD.replace("\n", "\n\n").replace("Redis", "x\n\ny\n\nRedis"), "bsd", 4),
+        (MIT.replace("\n", "\n\n"), "mit", 0),
+        ("licensed under cc\nby nc 4.0\n" + "x " * 30 + "nd", "cc-by,cc-by-nc", 0),
+        ("nd\nlicensed under cc by nc 4.0", "cc-by,cc-by-nc", 1),
+        ("the\nterms of\nthis work\n" + BSD.replace("forms", "kinds").replace("source", "text").replace("met", "kept"), "", None),
+        (MIT.replace("\n", " x\n\n" + "y " * 30), "", None),
+    ],
+)
+def test_wrapped_notices(spark, text, labels, line):
+    row = licenses.scan(docs(spark, [(1, text)])).first()
+    assert row["labels"] == labels
+    assert [b["line"] for b in row["blocks"]] == ([] if line is None else [line])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_as_brute_force(seed):
+    rnd = random.Random(seed)
+    matcher = licenses.Matcher(licenses.TEMPLATES, {}, {}, 90)
+    for _ in range(60):
+        number = rnd.randrange(len(matcher.templates))
+        label, order, need, size = matcher.templates[number]
+        assert size >= len(order)
+        text = []
+        for w in words(licenses.TEMPLATES[number][1]) * 2:
+            text += [w] * rnd.choice((0, 1, 1, 1, 1, 1, 1, 1, 1)) + ["zzz"] * rnd.choice((0, 0, 0, 0, 0, 0, 1))
+            text += ["zzz"] * rnd.choice((0, 0, 0, 0, 0, 30))
+        text = [w.encode() for w in text]
+        want = max((len(set(text[i : i + size]) & set(order)) for i in range(len(text))), default=0)
+        got = [round(c * len(order)) for _, _, c in matcher.windows(number, text)]
+        assert max(got, default=0) == (want if want >= need else 0)

@@ -1,11 +1,13 @@
 """Micro cases worked out by hand, and properties against brute force."""
 
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from quillon import catalogue
 from quillon.operators import tables
 from quillon.plans.search import Tables, search, two_waves
 from quillon.sources.queries import parse_lines, text_weights
@@ -139,3 +141,28 @@ def check_plan(found):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan
+
+
+def test_every_supplier_searches_orders(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(rnd.randint(1, 30), rnd.randint(1, 12), rnd.randint(1, 25), float(rnd.randint(1, 50)) + 0.5) for _ in range(300)] + [(99, 5, 25, 50.0)] * 40
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    vectors, asked = {}, {}
+    for order, part, supplier, quantity in rows:
+        vectors.setdefault(order, {}).setdefault(part, 0)
+        vectors[order][part] += int(quantity)
+        asked.setdefault(supplier, {}).setdefault(part, 0)
+        asked[supplier][part] += 1
+    want = []
+    for supplier, basket in asked.items():
+        top = max(basket.values())
+        if top > 32:
+            basket = {p: math.ceil(np.float32(n) * np.float32(32.0 / top)) for p, n in basket.items()}
+        scores = {o: sum(min(255, w) * basket[p] for p, w in v.items() if p in basket) for o, v in vectors.items()}
+        best = sorted(((-s, o) for o, s in scores.items() if s))[:10]
+        want += [(supplier, o, -s, i + 1) for i, (s, o) in enumerate(best)]
+    assert len(asked) > 20
+    got = catalogue.order_part_search_all(spark, str(tmp_path)).select("qid", "doc_id", "score", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    some = catalogue.order_part_search(spark, str(tmp_path)).select("qid", "doc_id", "score", "rank")
+    assert sorted(map(tuple, some.collect())) == sorted(w for w in want if w[0] <= 10)

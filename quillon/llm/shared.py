@@ -99,6 +99,7 @@ def built(shipped, make):
     """make(shipped.value), built once for each worker process and broadcast."""
     value = shipped.value
     if _BUILT.get("of") is not value:
+        _BUILT.clear()  # the last one goes before the next is made
         _BUILT.update(of=value, is_=make(value))
     return _BUILT["is_"]
 

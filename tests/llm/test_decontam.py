@@ -72,3 +72,24 @@ def test_empty_tables_and_clashes(spark):
 def test_size_is_checked(spark):
     with pytest.raises(ValueError, match="the benchmark has"):
         decontam.scan(docs(spark, [(1, "a")]), spark.createDataFrame([(1, "word " * 100)], "item_id long, text string"), max_words=10)
+
+
+@pytest.mark.parametrize("max_words", (200,))
+def test_large_benchmark_is_scanned_in_blocks(spark, tmp_path, max_words):
+    rows, items = tables(spark, 7)
+    rnd = random.Random(8)
+    items = [*items, (30, sentence(rnd, 400)), (31, "ß-é " * 40), (30, items[3][1]), (31, "ß-é " * 40)]
+    long = words(items[-4][1])
+    rows += [(200, "x " + " ".join(long)), (201, " ".join(long[100:150]) + " y"), (201, "ß é " * 7 + "z")]
+    frame, bench = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    whole = decontam.scan(frame, bench)
+    with pytest.raises(ValueError, match="the benchmark has"):
+        decontam.scan(frame, bench, max_words=max_words)
+    got = decontam.scan_all(frame, bench, max_words=max_words)
+    assert got.columns == whole.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    pieces, n_blocks = decontam._blocks(bench, 13, 12 * max_words)
+    sizes = [sum(len(r["text"]) for r in pieces.collect() if r["block"] == k) for k in range(n_blocks)]
+    assert n_blocks > 1 and max(sizes) <= max(12 * max_words, max(len(r["text"]) for r in pieces.collect()))
+    kept = decontam.remove_contaminated(frame, bench, max_words=max_words)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(map(tuple, decontam.remove_contaminated(frame, bench).collect()), key=repr)

@@ -136,7 +136,7 @@ def _deal(ids: list[int | None], sets: list[np.ndarray], chunk: str, n_parts: in
             repeated[1].append(d[several][within])
             repeated[2].append(twice)
             g, d = g[~several], d[~several]
-        rows.append((p, chunk, p, np.bincount(d, minlength=len(sets)).astype(np.uint16).tobytes(), _pack(g), _pack(twice), counts.tobytes(), b""))
+        rows.append((p, chunk, p, np.bincount(d, minlength=len(sets)).astype(np.uint32).tobytes(), _pack(g), _pack(twice), counts.tobytes(), b""))
     joined = [np.concatenate(x).tobytes() if x else b"" for x in repeated[:2]]
     identity = np.array([-1 if i is None else i for i in ids], np.int64).tobytes()
     missing = np.array([i is None for i in ids], bool).tobytes()
@@ -167,8 +167,8 @@ def _count_part(table: pa.Table) -> pa.Table:
         at, late = 0, sum(map(len, single))
         for r, g, s in zip(data, single, several, strict=True):
             keep = own[at : at + len(g)] >= 2
-            docs = np.repeat(np.arange(len(r["a"]) // 2), np.frombuffer(r["a"], np.uint16))
-            out.append(r | {"a": np.bincount(docs[keep], minlength=len(r["a"]) // 2).astype(np.uint16).tobytes() if keep.any() else b"", "b": _pack(g[keep]), "c": kind[at : at + len(g)][keep].tobytes(), "d": kind[late : late + len(s)].tobytes(), "e": b""})
+            docs = np.repeat(np.arange(len(r["a"]) // 4), np.frombuffer(r["a"], np.uint32))
+            out.append(r | {"a": np.bincount(docs[keep], minlength=len(r["a"]) // 4).astype(np.uint32).tobytes() if keep.any() else b"", "b": _pack(g[keep]), "c": kind[at : at + len(g)][keep].tobytes(), "d": kind[late : late + len(s)].tobytes(), "e": b""})
             at, late = at + len(g), late + len(s)
     return pa.Table.from_pylist(out, schema=_DEALT_ARROW)
 
@@ -196,7 +196,7 @@ def _gather_chunk(table: pa.Table, percent: int) -> pa.Table:
         if r["b"]:
             grams.append(_unpack(r["b"]))
             kinds.append(np.frombuffer(r["c"], np.uint8))
-            docs.append(np.repeat(np.arange(n_docs), np.frombuffer(r["a"], np.uint16)))
+            docs.append(np.repeat(np.arange(n_docs), np.frombuffer(r["a"], np.uint32)))
     grams, kinds, docs = np.concatenate(grams), np.concatenate(kinds), np.concatenate(docs)
     shared = np.bincount(docs, minlength=n_docs)
     alive = (shared >= least_overlap(sizes.astype(np.int64), percent)) & (sizes > 0) & ~missing

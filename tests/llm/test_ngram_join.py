@@ -96,3 +96,9 @@ def test_no_cross_join(spark):
     plan = ngram_join.ngram_sets(docs(spark, corpus(1)))._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan
     assert "NestedLoop" not in plan
+
+
+def test_more_ngrams_of_a_document_in_a_part_than_16_bits_hold(spark):
+    long = " ".join(f"w{i}" for i in range(70_000))
+    got = found(docs(spark, [(1, long), (2, long + " end"), (3, "w0 w1 w2 w3 w4 w5")]), n_parts=1)
+    assert got == [(1, 69_996, 1), (2, 69_997, 1), (3, 2, 3)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialise
+from quillon.llm.shared import discard, materialise
 
 
 def settled(edges: DataFrame) -> bool:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = sides.where("v > u").join(low, "u").where("v <> m").select(F.col("m").alias("u"), "v").distinct()
         base = large.groupBy("v").agg(F.min("u").alias("m"))
         pointed = large.join(base, "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-        now = materialise(pointed.unionByName(base.select(F.col("m").alias("u"), "v")).distinct(), "edges")
+        before, now = now, materialise(pointed.unionByName(base.select(F.col("m").alias("u"), "v")).distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = now.select(F.col("v").alias("node"), F.col("u").alias("component"))

@@ -16,21 +16,26 @@ all pairs that are still in different components are held against each other. A
 where its places in the global order exclude a link with this n-gram as the first common one; the bucket of the pair's
 first common n-gram has it otherwise. No link between different components is skipped.
 
+A bucket is dealt out to slots of about ``SLOT`` documents: its hub goes to each of them, and at the end its blocks of
+slots are held against each other, block by block, so no task gets a whole large bucket. Sets go only to where they are
+a candidate's.
+
 Defined results: null, empty and wordless texts have 0 n-grams and are linked with nothing; with fewer than five words
-the whole sequence is the one n-gram; repeated documents get a row each; a null doc_id gets its count and a null
-component; tables may be empty; other columns are not read. Sets are compared by 48-bit hashes of their n-grams
-within one of ``parts`` ranges.
+the whole sequence is the one n-gram; repeated documents get a row each; rows of one doc_id with different texts are one
+document to ``components``, which is linked by each of its texts, and documents of their own to ``keep_one``; a null
+doc_id gets its count and a null component; tables may be empty; other columns are not read. Sets are compared by 48-bit
+hashes of their n-grams within one of ``parts`` ranges.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.shared import SLICE_BYTES, materialise, mix64, parts, ship, slices, text_buffer
+from quillon.llm.shared import SLICE_BYTES, discard, materialise, mix64, parts, ship, slices, small, text_buffer
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,6 +46,8 @@ _PLACE = mix64(np.arange(1001, 1065, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 _LOW = np.uint64((1 << 48) - 1)
 #: Fragments of the global order for the second step: frequency classes and, within each, ranges of the hash.
 CLASSES, RANGES = 12, 4
+#: Documents of a bucket that a task gets together, and how many such slots make a block at the end.
+SLOT, BLOCK = 256, 8
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -110,7 +117,7 @@ _DEALT = "part long, chunk string, place long, a binary, b binary, c binary, d b
 _DEALT_ARROW = pa.schema([("part", pa.int64()), ("chunk", pa.string()), ("place", pa.int64()), *[(c, pa.binary()) for c in "abcde"]])
 
 
-def _deal(ids: list[int | None], sets: list[np.ndarray], chunk: str, n_parts: int) -> pa.RecordBatch:
+def _deal(ids: list[int | None], marks: list[int], sets: list[np.ndarray], chunk: str, n_parts: int) -> pa.RecordBatch:
     """The rows of one chunk: a header (place -1), and for each part its n-grams by document and those found twice or more."""
     sizes = np.array([len(s) for s in sets], np.int64)
     grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -138,7 +145,7 @@ def _deal(ids: list[int | None], sets: list[np.ndarray], chunk: str, n_parts: in
             g, d = g[~several], d[~several]
         rows.append((p, chunk, p, np.bincount(d, minlength=len(sets)).astype(np.uint32).tobytes(), _pack(g), _pack(twice), counts.tobytes(), b""))
     joined = [np.concatenate(x).tobytes() if x else b"" for x in repeated[:2]]
-    identity = np.array([-1 if i is None else i for i in ids], np.int64).tobytes()
+    identity = np.array([[-1 if i is None else i for i in ids], marks], np.int64).tobytes()
     missing = np.array([i is None for i in ids], bool).tobytes()
     rows.append((hash_part(chunk, n_parts), chunk, -1, identity, sizes.astype(np.int32).tobytes(), joined[0], joined[1], missing + _pack(np.concatenate(repeated[2])) if repeated[2] else missing))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DEALT_ARROW.types, strict=True)], schema=_DEALT_ARROW)
@@ -173,9 +180,10 @@ def _count_part(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_DEALT_ARROW)
 
 
-_SETS = "doc_id long, n int, shared int, prefix array<long>, pieces array<struct<fragment:int,grams:array<long>>>, fp1 long, fp2 long"
+#: row numbers the rows of documents; mark is the text's hash; the first `lead` n-grams of pieces are the prefix.
+_SETS = "row long, doc_id long, mark long, n int, shared int, lead int, pieces array<struct<fragment:int,grams:array<long>>>, fp1 long, fp2 long"
 _PIECE = pa.struct([("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("prefix", pa.list_(pa.int64())), ("pieces", pa.list_(_PIECE)), ("fp1", pa.int64()), ("fp2", pa.int64())])
+_SETS_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("lead", pa.int32()), ("pieces", pa.list_(_PIECE)), ("fp1", pa.int64()), ("fp2", pa.int64())])
 
 
 def least_overlap(n, percent: int):
@@ -187,8 +195,11 @@ def _gather_chunk(table: pa.Table, percent: int) -> pa.Table:
     """Of one chunk: all documents with their sizes, and the ordered sets of those that may have a partner."""
     rows = sorted(table.to_pylist(), key=lambda r: r["place"])
     head, data = rows[0], rows[1:]
-    ids, sizes = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int32)
+    sizes = np.frombuffer(head["b"], np.int32)
     n_docs = len(sizes)
+    ids, marks = np.frombuffer(head["a"], np.int64).reshape(2, n_docs)
+    task, serial = map(int, head["chunk"].split("-"))
+    first = (task << 36) + (serial << 16)
     missing = np.frombuffer(head["e"][:n_docs], bool)
     times, holders, several = np.frombuffer(head["c"], np.uint32), np.frombuffer(head["d"], np.uint16), _unpack(head["e"][n_docs:])
     grams, kinds, docs = [np.repeat(several, times)], [np.repeat(np.frombuffer(b"".join(r["d"] for r in data), np.uint8), times)], [holders.astype(np.int64)]
@@ -212,12 +223,12 @@ def _gather_chunk(table: pa.Table, percent: int) -> pa.Table:
     out = []
     for k in range(n_docs):
         a, b = edges[k], edges[k + 1]
-        row = {"doc_id": None if missing[k] else int(ids[k]), "n": int(sizes[k]), "shared": int(shared[k]), "prefix": None, "pieces": None, "fp1": None, "fp2": None}
+        row = {"row": first + k, "doc_id": None if missing[k] else int(ids[k]), "mark": int(marks[k]), "n": int(sizes[k]), "shared": int(shared[k]), "lead": None, "pieces": None, "fp1": None, "fp2": None}
         if alive[k]:
             n = int(sizes[k])
             length = n - least_overlap(n, percent) + 1 - (n - int(b - a))
             stops = [*cuts[lots[k] : lots[k + 1]].tolist(), int(b)]
-            row["prefix"] = signed[a : a + max(0, length)]
+            row["lead"] = max(0, length)
             row["pieces"] = [{"fragment": int(fragment[x]), "grams": signed[x:y]} for x, y in zip(stops[:-1], stops[1:], strict=True)]
             mixed = mix64(grams[a:b])
             row["fp1"], row["fp2"] = int(mixed.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(mixed)).view(np.int64))
@@ -234,91 +245,107 @@ def ngram_sets(documents: DataFrame, text: str = "text", n: int = 5, percent: in
     def deal(batches):
         from pyspark import TaskContext
 
-        me, serial, ids, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
+        me, serial, ids, marks, sets, held = TaskContext.get().partitionId(), 0, [], [], [], 0
         for batch in batches:
-            own = batch.column(0).to_pylist()
+            own, own_marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             raw, off = text_buffer(batch.column(1))
             for i, j in slices(off):
                 lo, hi = off[i], off[j]
                 sets += shingle_sets(raw[lo:hi], off[i : j + 1] - lo, n)
                 ids += own[i:j]
+                marks += own_marks[i:j]
                 held += sum(map(len, sets[len(sets) - (j - i) :]))
                 while sets and (held >= chunk_grams or len(sets) >= 60_000):
                     take = min(len(sets), 60_000)
-                    yield _deal(ids[:take], sets[:take], f"{me}-{serial}", n_parts)
-                    ids, sets, serial = ids[take:], sets[take:], serial + 1
+                    yield _deal(ids[:take], marks[:take], sets[:take], f"{me}-{serial}", n_parts)
+                    ids, marks, sets, serial = ids[take:], marks[take:], sets[take:], serial + 1
                     held = sum(map(len, sets))
         if sets:
-            yield _deal(ids, sets, f"{me}-{serial}", n_parts)
+            yield _deal(ids, marks, sets, f"{me}-{serial}", n_parts)
 
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(deal, _DEALT)
+    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), _mark(text).alias("mark")).mapInArrow(deal, _DEALT)
     counted = dealt.groupBy("part").applyInArrow(_count_part, _DEALT)
     gather = lambda table: _gather_chunk(table, percent)
     return counted.groupBy("chunk").applyInArrow(gather, _SETS)
 
 
-def _overlaps(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """pairs (a, b) with the sum of the overlaps that each fragment has counted by itself."""
-    left = pairs.join(pieces.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("grams_a")), "a")
-    both = left.join(pieces.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
+def _mark(text: str):
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with the sum of the overlaps that each fragment has counted by itself. sets: (row, pieces)."""
+    asked = small(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    pieces = sets.join(asked, "row", "left_semi").select("row", F.explode("pieces").alias("p")).select("row", "p.fragment", "p.grams")
+    left = pairs.join(pieces.select(F.col("row").alias("a"), "fragment", F.col("grams").alias("grams_a")), "a")
+    both = left.join(pieces.select(F.col("row").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
     partial = both.select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap"))
     return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
-def components(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, more_hubs: int = 3, **options) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    sets = materialise(ngram_sets(documents, text, n, percent, **options), "sets")
-    alive = sets.where(F.col("prefix").isNotNull())
-    whole = alive.where("shared = n").select("doc_id", "n", "fp1", "fp2")  # only these can have an equal set
-    classes = whole.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    copies = materialise(whole.join(classes, ["n", "fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    only = alive.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    reps = materialise(only.select("doc_id", "n", "shared", "prefix", "pieces"), "reps")
-    pieces = reps.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.fragment", "p.grams")
+def _buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """(gram, slots, slot, x, n, place): the documents x of each prefix n-gram that may make a pair."""
     # a place counts the n-grams before it in the global order, those nobody shares first
-    entries = reps.select(F.posexplode("prefix").alias("i", "gram"), F.col("doc_id").alias("x"), "n", (F.col("n") - F.col("shared") + F.col("i")).alias("place")).drop("i")
-    entries = entries.select("gram", "x", "n", "place")
+    prefix = F.slice(F.flatten(F.col("pieces.grams")), F.lit(1), F.col("lead"))
+    entries = sets.where("lead > 0").select(F.posexplode(prefix).alias("i", "gram"), F.col("row").alias("x"), "n", "shared").select("gram", "x", "n", (F.col("n") - F.col("shared") + F.col("i")).alias("place"))
     seen = entries.groupBy("gram").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("s2"), F.sum("place").alias("order"), F.min("n").alias("least"))
     # buckets of the same documents make the same pairs: the first of them in the global order is enough
-    buckets = seen.where("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("order", "gram", "least")).alias("k")).select("k.gram", "k.least")
+    chosen = seen.where("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("order", "gram", "least")).alias("k"))
+    buckets = chosen.select("k.gram", "k.least", F.ceil(F.col("m") / SLOT).cast("int").alias("slots"))
     # with this n-gram as the first common one, only a partner of so few n-grams could link; if all have more, the entry ends here
     partner = F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent) - F.col("n")
-    placed = materialise(entries.join(buckets, "gram").where(partner >= F.col("least")).drop("least"), "buckets")
+    slot = F.pmod(F.xxhash64("x", F.lit("slot")), F.col("slots")).cast("int")
+    return entries.join(small(buckets), "gram").where(partner >= F.col("least")).select("gram", "slots", slot.alias("slot"), "x", "n", "place")
 
-    side = lambda d, k: d.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in d.columns if c != "gram"])
+
+def _linked_sets(sets: DataFrame, percent: int, more_hubs: int) -> DataFrame:
+    """(node, component) of the sets (row, n, shared, lead, pieces) that are linked with others; sets are all different."""
+    placed = materialise(_buckets(sets, percent), "buckets")
+    side = lambda d, k, on: d.select(*on, *[F.col(c).alias(f"{c}_{k}") for c in ("x", "n", "place", "own")])
     ahead = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    within = (100 * ahead >= percent * (F.col("n_a") + F.col("n_b") - ahead)) & (F.col("x_a") != F.col("x_b"))  # at the first common n-gram, no more can overlap
+    # at the first common n-gram, no more can overlap than lies ahead
+    within = (100 * ahead >= percent * (F.col("n_a") + F.col("n_b") - ahead)) & (F.col("x_a") != F.col("x_b")) & (F.col("own_a") != F.col("own_b"))
     pair = [F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b"), F.when(F.col("x_a") < F.col("x_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("na"), F.when(F.col("x_a") < F.col("x_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("nb")]
 
-    def linked(one: DataFrame, two: DataFrame, also) -> DataFrame:
-        crossed = one.join(two, (one["gram"] == two["gram"]) & within & also).select(*pair).distinct()
-        crossed = materialise(crossed, "crossed")
-        held = crossed.join(_overlaps(crossed.select("a", "b"), pieces), ["a", "b"])
-        return materialise(held.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links")
+    def linked(met: DataFrame) -> DataFrame:
+        crossed = materialise(met.where(within).select(*pair).distinct(), "crossed")
+        held = crossed.join(_overlaps(crossed.select("a", "b"), sets.select("row", "pieces")), ["a", "b"])
+        links = materialise(held.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links")
+        discard(crossed)
+        return links
 
-    known = materialise(connected_components(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "known")
+    known = None
     for turn in range(more_hubs + 1):
-        own = placed.join(known.select(F.col("node").alias("x"), F.col("component").alias("own")), "x", "left").withColumn("own", F.coalesce("own", "x"))
-        counts = own.groupBy("gram", "own").agg(F.count("*").alias("c")).groupBy("gram").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("k > 1")
-        rest = materialise(own.join(counts.select("gram", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"), "m"), "gram"), "open")
+        own = placed.withColumn("own", F.col("x")) if known is None else placed.join(known.select(F.col("node").alias("x"), F.col("component").alias("own")), "x", "left").withColumn("own", F.coalesce("own", "x"))
+        counts = own.groupBy("gram", "own").agg(F.count("*").alias("c"), F.max("slots").alias("slots")).groupBy("gram").agg(F.max("slots").alias("slots"), F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("k > 1")
+        counts = counts.select("gram", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"), "m")
+        rest = materialise(own.join(counts, ["gram", "slot"]), "open")
         size = rest.agg(F.coalesce(F.sum(F.col("pairs") / F.col("m")), F.lit(0)).alias("pairs"), F.count("*").alias("rows")).first()
         last = turn == more_hubs or size["pairs"] <= 2 * size["rows"]
-        rest = rest.drop("pairs", "m")
-        apart = F.col("own_a") != F.col("own_b")
         if last:
-            found = linked(side(rest, "a"), side(rest, "b"), apart & (F.col("x_a") < F.col("x_b")))
+            # blocks of slots, each against itself and those after it
+            block, blocks = F.floor(F.col("slot") / BLOCK).cast("int"), F.ceil(F.col("slots") / BLOCK).cast("int")
+            ahead_of = rest.withColumn("i", block).withColumn("j", F.explode(F.sequence(block, blocks - 1)))
+            behind = rest.withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0), block)))
+            on = ["gram", "i", "j"]
+            found = linked(side(ahead_of, "a", on).join(side(behind, "b", on), on).where((F.col("i") < F.col("j")) | (F.col("x_a") < F.col("x_b"))))
         else:
             # a hub for each open bucket, another one each turn, held against the documents of the other components
             # one with few n-grams before this one, as these have least of their own
             early = F.col("place") if turn == 0 else F.floor(16 * F.col("place") / F.col("n"))
-            pick = F.struct(early.cast("long").alias("p"), (F.col("x") if turn == 0 else F.xxhash64("x", F.lit(turn))).alias("h"), "x", "n", "place", "own")
-            hub = rest.groupBy("gram").agg(F.min(pick).alias("hub")).select("gram", "hub.*").drop("p", "h")
-            found = linked(side(hub, "a"), side(rest, "b"), apart)
+            pick = F.struct(early.cast("long").alias("p"), (F.col("x") if turn == 0 else F.xxhash64("x", F.lit(turn))).alias("h"), "x", "n", "place", "own", "slots")
+            hub = rest.groupBy("gram").agg(F.min(pick).alias("hub")).select("gram", "hub.*").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+            on = ["gram", "slot"]
+            found = linked(side(hub, "a", on).join(side(rest, "b", on), on))
+        discard(rest)
         if not found.isEmpty():
-            known = _merge(known, found)
+            before, known = known, materialise(connected_components(found), "known") if known is None else _merge(known, found)
+            discard(before)
+        discard(found)
         if last:
             break
-    return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    discard(placed)
+    return known if known is not None else sets.sparkSession.createDataFrame([], "node long, component long")
 
 
 def _merge(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -331,13 +358,54 @@ def _merge(known: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(raised.unionByName(new), "known")
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One document of each component, the one of the smallest doc_id (once, if its row is repeated); null ids stay."""
+def _grouped(documents: DataFrame, text: str, n: int, percent: int, more_hubs: int, options: dict) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, mark, n), and of those that may have a partner (doc_id, mark, comp), comp by links of texts alone."""
+    sets = materialise(ngram_sets(documents, text, n, percent, **options), "sets")
+    sizes = materialise(sets.select("doc_id", "mark", "n"), "sizes")
+    alive = sets.where(F.col("pieces").isNotNull())
+    whole = alive.where("shared = n").select("row", "n", "fp1", "fp2")  # only these can have an equal set
+    classes = whole.groupBy("n", "fp1", "fp2").agg(F.min("row").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = materialise(whole.join(small(classes), ["n", "fp1", "fp2"]).where("row <> rep").select("row", "rep"), "copies")
+    members = materialise(alive.select("row", "doc_id", "mark").join(small(copies), "row", "left").select("doc_id", "mark", F.coalesce("rep", "row").alias("rep")), "members")
+    reps = materialise(alive.join(small(copies), "row", "left_anti").select("row", "n", "shared", "lead", "pieces"), "reps")
+    discard(sets)
+    discard(copies)
+    known = _linked_sets(reps, percent, more_hubs)
+    discard(reps)
+    label = known.select(F.col("node").alias("rep"), "component")
+    return sizes, members.join(small(label), "rep", "left").select("doc_id", "mark", F.coalesce("component", "rep").alias("comp"))
+
+
+def components(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, more_hubs: int = 3, **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    sizes, grouped = _grouped(documents, text, n, percent, more_hubs, options)
+    of = materialise(grouped.select("doc_id", "comp").distinct(), "of")
+    # different texts of one doc_id tie their groups
+    ties = of.groupBy("doc_id").agg(F.min("comp").alias("a"), F.count("*").alias("c")).where("c > 1")
+    tied = of.join(ties, "doc_id").where("comp <> a").select("a", F.col("comp").alias("b"))
+    above = connected_components(tied).select(F.col("node").alias("comp"), F.col("component").alias("top"))
+    of = of.join(small(above), "comp", "left").select("doc_id", F.coalesce("top", "comp").alias("comp"))
+    smallest = of.groupBy("comp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    named = materialise(of.join(small(smallest), "comp").select("doc_id", F.col("least").alias("component_id")).distinct(), "named")
+    return sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(small(named), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, more_hubs: int = 3, **options) -> DataFrame:
+    """One document of each group of linked texts, that of the smallest doc_id; a row repeated with its doc_id and text stays once; null ids stay."""
+    sizes, grouped = _grouped(documents, text, n, percent, more_hubs, options)
+    grouped = materialise(grouped, "grouped")
+    first = grouped.groupBy("comp").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.max(F.struct("doc_id", "mark")).alias("l")).where("f <> l").select("comp", "f")
+    gone = grouped.join(small(first), "comp").where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("mark") != F.col("f.mark"))).select("doc_id", "mark", F.lit(True).alias("__gone")).distinct()
+    again = sizes.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark", F.lit(False).alias("__gone"))
+    marked = materialise(gone.unionByName(again).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max("__gone").alias("__gone")), "marked")
     names = documents.columns
-    found = components(documents, **options).where("doc_id = component_id or doc_id is null").select("doc_id").where("doc_id is not null").distinct()
-    rows = documents.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names])))
-    return rows.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in names]).unionByName(documents.where(F.col("doc_id").isNull()))
+    own = [F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(names)]
+    rows = documents.select(*own, F.col("doc_id").cast("long").alias("__id"), _mark(text).alias("__mark")).join(small(marked), ["__id", "__mark"], "left")
+    back = lambda d: d.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(names)])
+    whole = F.struct(*[f"__own_{i}" for i in range(len(names))])
+    order = F.xxhash64(*[f"__own_{i}" for i, (_, kind) in enumerate(documents.dtypes) if "map<" not in kind])
+    once = rows.where("__gone = false").groupBy("__id", "__mark").agg(F.min_by(whole, order).alias("r")).select("r.*")
+    return back(rows.where("__gone is null")).unionByName(back(once))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text are worked on in slices of about so many bytes, so that memory does not follow the Arrow batch.
 SLICE_BYTES = 1 << 20
+#: Whether the shuffle files of a query are freed when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
@@ -39,12 +41,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there and survives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there and survives lost executors.
+
+    The write's own shuffle files are of no use after it, so Spark is asked to free them at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before) if before is not None else spark.conf.unset(FREED)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    return out
+
+
+def discard(step: DataFrame | None) -> None:
+    """Removes the files of a step that nothing reads any more; step is what ``materialise`` gave, else nothing happens."""
+    path = getattr(step, "_quillon_path", None) if step is not None else None
+    if path:
+        _remove(step.sparkSession, path)
+
+
+def small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most `limit` rows (of a few numbers each); else as it is."""
+    df = df if hasattr(df, "_quillon_path") else materialise(df, "small")
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def _remove(spark: SparkSession, path: str) -> None:

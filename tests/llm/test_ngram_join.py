@@ -85,6 +85,44 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [2, 7, 9, None]
 
 
+def test_one_id_with_two_texts(spark):
+    a, b = sentence(random.Random(1), 40), sentence(random.Random(2), 40)
+    rows = [(5, a), (12, a), (12, b), (20, b + " x"), (30, "nothing of these at all here"), (12, b)]
+    assert found(docs(spark, rows)) == brute(rows)
+    assert sorted(c for _, _, c in found(docs(spark, rows))) == [5, 5, 5, 5, 5, 30]
+    # texts are kept by their own links: b's group keeps 12's second text, once
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(spark, rows)).collect())
+    assert kept == sorted([(5, a), (12, b), (30, "nothing of these at all here")])
+
+
+def test_buckets_of_many_slots(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLOT", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    rows = corpus(11, 60)
+    for hubs in (0, 2):
+        assert found(docs(spark, rows), more_hubs=hubs) == brute(rows)
+
+
+def test_keep_one_as_brute_force(spark):
+    rows = [(i // 2 if i % 5 == 0 else i, t) for i, t in corpus(5)] + [(3, None), (3, None), (4, "")]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(spark, rows)).collect()]
+    # each row is a document here: one row of each group of linked texts, that of the smallest doc_id
+    groups = {i: c for i, _, c in brute([(i, t) for i, (_, t) in enumerate(rows)])}
+    want = {}
+    for i, (d, t) in enumerate(rows):
+        group = groups[i] if t else (d, t)
+        want[group] = min(d, want.get(group, d))
+    assert sorted(d for d, _ in kept) == sorted(want.values())
+    assert len(set(kept)) == len(kept)
+
+
+def test_columns_of_any_name_stay(spark):
+    df = docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "x")]).withColumnsRenamed({"source": "__nth", "lang": "__mark", "n_chars": "a.b"})
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1]
+
+
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (3, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}

@@ -57,3 +57,69 @@ def test_neighbours_decide_weak_blocks():
     # a lone short line is dropped; between long paragraphs of the same parent it stays
     assert html_cut.main_text("<div><p>Short</p></div>") == ""
     assert "Short" in html_cut.main_text("<div>" + "<p>" + "word " * 50 + ".</p><p>Short</p><p>" + "word " * 50 + ".</p></div>")
+
+
+def test_wrapped_by_a_form():
+    story = "<p>" + "word " * 40 + "end.</p><p>Short one.</p>"
+    inner = f"<article><h1>Title</h1>{story}<form><p>Leave a reply. Your address will not be shown to anyone here.</p></form></article><form><p>Search this site now.</p></form>"
+    want = ["Title", "word " * 40 + "end.", "Short one."]
+    assert html_cut.main_text(f"<form action=x>{inner}</form>").split("\n\n") == want
+    assert html_cut.main_text(inner).split("\n\n") == want
+    # without an article, a form of most words wraps the page, a smaller one does not
+    assert html_cut.main_text(f"<form>{story}</form>").split("\n\n") == want[1:]
+    assert html_cut.main_text(f"{story}<form><p>Tell us here what you think of it.</p></form>").split("\n\n") == want[1:]
+
+
+def test_names_of_content_beside_weak_ones():
+    story = "<p>" + "word " * 40 + "end.</p>"
+    assert html_cut.main_text(f'<div class="content widget">{story}</div>') == "word " * 40 + "end."
+    assert html_cut.main_text(f'<div class="search"><article>{story}</article></div>') == "word " * 40 + "end."
+    for names in ("content-sidebar", "entry-footer", "content ads", "story comments", "widget"):
+        assert html_cut.main_text(f'<div class="{names}">{story}</div>') == ""
+
+
+def test_story_beside_a_short_article():
+    story = "<div>" + "".join("<p>" + f"word{i} " * 50 + "end.</p>" for i in range(6)) + "</div>"
+    text = html_cut.main_text(f"<article><h2>Teaser</h2><p>Read this.</p></article>{story}<footer>me</footer>")
+    assert [b.split()[0] for b in text.split("\n\n")] == ["Teaser", "Read", *[f"word{i}" for i in range(6)]]
+    # beside the article that most words are in, other text is none of the story
+    assert "teaser" not in html_cut.main_text(f"<article>{story}</article><div><p>A teaser for another story, which is long enough to be read.</p></div>")
+
+
+def corpus(n=60):
+    """Pages without articles, with their main texts: stories with short paragraphs among long ones, and lists of links."""
+    rnd = random.Random(12)
+    words = [a + b for a in ("ka", "lo", "mi", "nu") for b in ("ber", "din", "fol", "gar")]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n)).capitalize() + "."
+    for _ in range(n):
+        story = [say(rnd.randint(25, 60))] + [say(rnd.choice((1, 2, 30, 50))) for _ in range(rnd.randint(2, 6))] + [say(rnd.randint(25, 60))]
+        links = "".join(f"<li><a href=x>{rnd.choice(words)} {rnd.choice(words)}</a></li>" for _ in range(rnd.randint(3, 8)))
+        notes = "".join(f"<p>{say(2)}</p>" for _ in range(rnd.randint(1, 3)))
+        yield f"<body><div><ul>{links}</ul></div><section><div>{''.join(f'<p>{b}</p>' for b in story)}</div></section><div><span>{notes}</span></div></body>", "\n\n".join(story)
+
+
+def test_cut_mends_what_costs_alone_get_wrong():
+    by_cut = by_cost = 0
+    for html, story in corpus():
+        page = html_cut.Page(html)
+        alone = [k > d for k, d in (html_cut.costs(b, page.share) for b in page.blocks)]
+        by_cost += "\n\n".join(b.text for b, keep in zip(page.blocks, alone, strict=True) if keep) == story
+        by_cut += html_cut.main_text(html) == story
+    assert by_cut >= 54 > 30 > by_cost
+
+
+def test_classifier_is_learned_from_marked_pages(spark):
+    rows = []
+    for i, (html, story) in enumerate(corpus(80)):
+        body = "".join(f"<p>{b}</p>" for b in story.split("\n\n"))
+        notes = html.split("<span>")[1].split("</span>")[0]
+        rows.append((i, f"<nav><ul><li><a href=x>{i} more</a><li><a href=y>all of it</a></ul></nav><article>{body}</article><div class=ad>{3 * notes}</div><footer><p>Mine {i}</p></footer>"))
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    weights = html_cut.fit(frame)
+    assert weights != html_cut.DEFAULT and len(weights) == len(html_cut.DEFAULT)
+    assert weights[0] > 0 > weights[2]  # words speak for content, links against it
+    assert html_cut.fit(frame.unionByName(frame)) == weights  # repeated pages do not move it
+    # pages that show one kind only, or none, teach nothing
+    assert html_cut.fit(frame.limit(0)) == html_cut.fit(spark.createDataFrame([(1, None), (2, "<article><p>x")], "page_id long, html string")) == html_cut.DEFAULT
+    # on pages without marks it tells the story from the rest
+    assert sum(html_cut.main_text(html, weights) == story for html, story in corpus()) >= 40

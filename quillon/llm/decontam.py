@@ -65,7 +65,8 @@ class Automaton:
     def scan(self, data: bytes, piece: int = 4 << 20) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, merged [first, last) word runs that are hit, and the items found.
 
-        A very long text is coded piece by piece; the last window - 1 words go before the next piece.
+        A very long text is coded piece by piece; the last window - 1 words go before the next piece. Matches that end
+        among these were found with the piece before.
         """
         folded, at, n, carry = data.translate(FOLD), 0, 0, ""
         runs: list[tuple[int, int]] = []
@@ -78,6 +79,8 @@ class Automaton:
                 coded = carry + "".join(map(self.symbols.get, words, repeat("\0")))
                 base = n - len(carry)
                 for end, (length, who) in self.matcher.iter(coded):
+                    if end < len(carry):
+                        continue
                     first, last = base + end - length + 1, base + end + 1
                     while runs and first <= runs[-1][1]:
                         a, b = runs.pop()

@@ -60,6 +60,25 @@ def test_pieces_and_spans():
     assert data.decode()[span["start"] : span["end"]] == "A b-c d e f g h i j k l m!! X  y"
 
 
+def test_short_items_in_texts_of_many_pieces():
+    machine = decontam.Automaton([(1, "yes")], 13)
+    data = b"yes no no no yes no no no no no no no"
+    assert {machine.scan(data, piece)[1] == [(0, 1), (4, 5)] for piece in (20, 1 << 20)} == {True}
+    rnd = random.Random(3)
+    for _ in range(40):
+        items = [(i, " ".join(rnd.choice("abc") for _ in range(rnd.choice((1, 1, 2, 3, 5))))) for i in range(4)]
+        machine = decontam.Automaton(items, 4)
+        text = " ".join(rnd.choice("abcdddd") for _ in range(rnd.randint(1, 80))).encode()
+        whole = machine.scan(text)
+        assert all(machine.scan(text, piece) == whole for piece in (1, 3, 8, 20))
+
+
+def test_text_over_the_piece(spark):
+    clean = "filler " * 700_000
+    got = decontam.scan(docs(spark, [(1, "yes " + clean + "yes of course"), (2, clean)]), spark.createDataFrame([(1, "yes"), (2, "of course")], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got] == [(700_004, 4, 2, False), (700_000, 0, 0, False)]
+
+
 def test_empty_tables_and_clashes(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.scan(docs(spark, [(1, "a b")]), bench).first()["contaminated"] is False

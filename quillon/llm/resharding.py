@@ -4,15 +4,20 @@ Rows lie in old shards; shard j keeps its number if j is a new shard as well. Th
 blocks of like size; a block's cost is the bytes of a row. The flow network has an arc from every old shard to the new
 one of its number (cost 0) and an arc for each of its blocks to a pool from which every new shard can draw; new shards
 take the even share of rows, and as many as there are left over take one more. The minimum-cost flow says how many rows
-each old shard gives to each new one; its smallest rows go. Within a block's size class rows are told apart by their
-exact size, so no other choice of as many rows moves fewer bytes.
+each old shard gives to each new one; its smallest rows go.
 
-Only counts by (old shard, size class) reach the driver: 64 * old shards at most. Ranks within a group are counted by
-hash blocks, so no group is put in order as a whole.
+Whatever the flow, an old shard that is a new one too gives its rows above the share, or all of these but the largest:
+that one row, the marginal one, is a block of its own with its exact size, found by counting sizes in ever narrower
+ranges. The costs of all other blocks are the same in every solution or never paid, so means do for them and the bytes
+moved are the fewest.
+
+Only counts by (old shard, size class) and, for the marginal rows, by ``BINS`` ranges an old shard reach the driver.
+Ranks within a group are counted by hash blocks, so no group is put in order as a whole.
 
 Defined results: a null text has no bytes; a null doc_id lies in the old shard of an empty name; repeated documents are
 rows of their own; with fewer rows than shards some shards stay empty; an empty table gives no rows; further columns
-are not read by ``plan_rows``.
+are not read by ``reshard``, and kept by ``shard_documents`` and ``rewrite``, where those with the names of the added
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import materialise
 
 OVERHEAD = 8
+#: Ranges into which sizes are cut at a time when a row of given rank is looked for.
+BINS = 256
 
 
 class Flow:
@@ -113,6 +120,60 @@ def transfers(blocks: list[tuple[int, int, int, int]], n_new: int) -> tuple[dict
     return {old: kept.get(old, 0) for old in by_old}, moves
 
 
+def marginal_ranks(blocks: list[tuple[int, int, int, int]], n_new: int) -> dict[int, tuple[int, int]]:
+    """For old shards with more rows than the share: the size class of the marginal row and its rank there, from 0."""
+    rows_of: dict[int, int] = {}
+    for old, _, rows, _ in blocks:
+        rows_of[old] = rows_of.get(old, 0) + rows
+    share, more = divmod(sum(rows_of.values()), n_new)
+    found = {}
+    for old, rows in rows_of.items():
+        rank = rows - share - 1
+        if not (more and 0 <= old < n_new and rank >= 0):
+            continue
+        for _, size, n, _ in sorted(b for b in blocks if b[0] == old):
+            if rank < n:
+                found[old] = (size, rank)
+                break
+            rank -= n
+    return found
+
+
+def marginal_sizes(table: DataFrame, ranks: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int, int]]:
+    """For the rows of these ranks in their (old, class): exact size, and rows and bytes of the class below that size."""
+    spark = table.sparkSession
+    # by old shard: class, rank left, range [lo, hi) of sizes, rows and bytes before it
+    state = {old: (size, rank, (1 << size) >> 1, 1 << size, 0, 0) for old, (size, rank) in ranks.items()}
+    while wide := {old: s for old, s in state.items() if s[3] - s[2] > 1}:
+        step = {old: max(1, -(-(s[3] - s[2]) // BINS)) for old, s in wide.items()}
+        asked = F.broadcast(spark.createDataFrame([(old, s[0], s[2], s[3], step[old]) for old, s in wide.items()], "old int, class int, lo long, hi long, step long"))
+        inside = table.join(asked, ["old", "class"]).where("size >= lo and size < hi")
+        counts = inside.groupBy("old", F.expr("(size - lo) div step").alias("bin")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+        for old, at, n, size in sorted(map(tuple, counts.collect())):
+            kind, rank, lo, hi, rows, total = state[old]
+            if (lo, hi) != wide[old][2:4] or rank < 0:
+                continue  # found already
+            if rank < n:
+                state[old] = (kind, rank, lo + at * step[old], min(hi, lo + (at + 1) * step[old]), rows, total)
+            else:
+                state[old] = (kind, rank - n, lo, hi, rows + n, total + size)
+    return {old: (s[2], s[4], s[5]) for old, s in state.items()}
+
+
+def refined(blocks: list[tuple[int, int, int, int]], ranks: dict[int, tuple[int, int]], sizes: dict[int, tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The blocks with each marginal row's class cut into the rows before it, itself, and those after it."""
+    out = []
+    for old, size, rows, total in blocks:
+        if old not in ranks or ranks[old][0] != size:
+            out.append((old, size, rows, total))
+            continue
+        rank, (exact, below, below_bytes) = ranks[old][1], sizes[old]
+        before = below_bytes + (rank - below) * exact
+        parts = ((rank, before), (1, exact), (rows - rank - 1, total - before - exact))
+        out += [(old, size, n, b) for n, b in parts if n]
+    return out
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], rows: int, name: str, first: str | None = None, block_rows: int = 4096) -> DataFrame:
     """Adds the gapless rank from 0 of each row in its group: by `first`, if given, then by hash blocks of `order`.
 
@@ -129,12 +190,13 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rows: int, name: s
 
 
 def plan_rows(sizes: DataFrame, n_new: int) -> DataFrame:
-    """sizes (doc_id, size, text_crc32, old): adds shard and slot. The order of rows is (size, crc, doc_id)."""
+    """sizes (doc_id, size, text_crc32, old, ...): adds shard and slot. The order of rows is (size, crc, doc_id)."""
     spark = sizes.sparkSession
     table = materialise(sizes.withColumn("class", F.length(F.bin("size")).cast("int")).withColumn("__id", F.coalesce("doc_id", F.lit(-1))), "sizes")
     blocks = [tuple(r) for r in table.groupBy("old", "class").agg(F.count("*"), F.sum("size")).collect()]
     total = sum(b[2] for b in blocks)
-    kept, moves = transfers(blocks, n_new)
+    ranks = marginal_ranks(blocks, n_new)
+    kept, moves = transfers(refined(blocks, ranks, marginal_sizes(table, ranks)), n_new)
     gone: list[tuple[int, int, int]] = []
     for old in kept:
         left = sum(b[2] for b in blocks if b[0] == old) - kept[old]
@@ -163,9 +225,9 @@ def plan_rows(sizes: DataFrame, n_new: int) -> DataFrame:
     return ranked(placed, ["shard"], order, total, "slot").drop("class", "__id")
 
 
-def measured(documents: DataFrame, old, text: str = "text") -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return documents.select("doc_id", (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), old.cast("int").alias("old"))
+def measured(documents: DataFrame, old, text: str = "text", *also: str) -> DataFrame:
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return documents.select("doc_id", (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), old.cast("int").alias("old"), *also)
 
 
 def old_layout(n_old: int):
@@ -173,29 +235,49 @@ def old_layout(n_old: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n_old))
 
 
+def _plan(documents: DataFrame, n_new: int, old, *also: str) -> DataFrame:
+    plan = plan_rows(measured(documents, old_layout(16) if old is None else old, "text", *also), n_new)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("old").alias("old_shard"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *also)
+
+
 def reshard(documents: DataFrame, n_new: int = 24, old=None) -> DataFrame:
     """doc_id, size, text_crc32, law, old_shard, shard, slot for every row."""
-    plan = plan_rows(measured(documents, old_layout(16) if old is None else old), n_new)
-    return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("old").alias("old_shard"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return _plan(documents, n_new, old)
+
+
+ADDED = ("old_shard", "shard", "slot")
+_ROW = "__row_number"
+
+
+def _placed_documents(documents: DataFrame, n_new: int, old, file_rows: int, moved_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Documents with ADDED, dealt out to files of file_rows slots of a shard, in order; and the plan's rows."""
+    names = [c for c in documents.columns if c not in ADDED]
+    hidden = [F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(names)]
+    numbered = materialise(documents.select(*hidden, F.col("doc_id"), F.col("text"), (old_layout(16) if old is None else old).cast("int").alias("__old"), F.monotonically_increasing_id().alias(_ROW)), "numbered")
+    plan = materialise(_plan(numbered, n_new, F.col("__old"), _ROW), "plan")
+    todo = plan.select(_ROW, *ADDED)
+    if moved_only:
+        changed = todo.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
+        todo = todo.join(F.broadcast(changed), "shard")  # one row a shard at most
+    joined = numbered.select(_ROW, *[f"__own_{i}" for i in range(len(names))]).join(todo, _ROW)
+    dealt = joined.repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
+    return dealt.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(names)], *ADDED), plan.drop(_ROW)
+
+
+def shard_documents(documents: DataFrame, n_new: int = 24, old=None, file_rows: int = 100_000) -> DataFrame:
+    """documents, whole, with old_shard, shard and slot; rows of a shard lie together in the order of their slots."""
+    return _placed_documents(documents, n_new, old, file_rows, False)[0]
 
 
-def rewrite(spark: SparkSession, folder: str, target: str, n_new: int) -> DataFrame:
+def rewrite(spark: SparkSession, folder: str, target: str, n_new: int, file_rows: int = 100_000) -> DataFrame:
     """Reshards a folder of Parquet documents partitioned by `shard` into target, and returns the plan.
 
-    Only shards that lose or get rows are written; the others are left where they are and named by the plan's rows
-    with old_shard = shard in shards without a change. Rows are joined with their plan by identity, size and checksum.
+    Only shards that lose or get rows are written, in files of file_rows rows at most; the others are left where they
+    are in folder, and are those of the plan whose rows all have old_shard = shard and that get none.
     """
     docs = spark.read.parquet(folder)
-    plan = materialise(reshard(docs, n_new, F.col("shard")), "plan")
-    changed = plan.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    same = ["doc_id", "size", "text_crc32", "old"]
-    twin = lambda d: d.withColumn("__nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
-    rows = docs.withColumnRenamed("shard", "old").withColumn("size", (F.octet_length(F.coalesce("text", F.lit(""))) + OVERHEAD).cast("long")).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
-    todo = twin(plan.withColumnRenamed("old_shard", "old")).join(F.broadcast(changed), "shard")
-    left, right = twin(rows).alias("l"), todo.select(*same, "__nth", "shard", "slot").alias("r")
-    on = F.expr(" and ".join(f"l.{c} <=> r.{c}" for c in [*same, "__nth"]))
-    joined = left.join(right, on).select(*[F.col(f"l.{c}") for c in docs.columns if c != "shard"], "r.shard", "r.slot")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(target)
+    out, plan = _placed_documents(docs, n_new, F.col("shard"), file_rows, True)
+    out.drop("old_shard", "slot").write.option("maxRecordsPerFile", file_rows).partitionBy("shard").parquet(target)
     return plan
 
 

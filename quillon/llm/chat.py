@@ -15,7 +15,9 @@ A conversation comes as pieces of at most ``turns_per_piece`` turns, in order, s
 
 Defined results: turns are ordered by turn (null first), then role and text; a null role or text counts as empty; rows
 repeated with equal turn, role and text are turns of their own; rows without conv_id form one conversation; empty tables
-give no rows; other columns are not read. A text of any length is encoded in stretches of ``stretch`` characters.
+give no rows; other columns are not read. A text of any length gets the ids that the tokenizer gives the whole of it: it
+is encoded in stretches of about ``stretch`` characters, cut where a blank follows another character, which is always a
+border between the tokenizer's words.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import hashlib
 import re
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _RISKY = re.compile(r"\\|[<\[](?=" + "|".join(re.escape(c[1:]) for c in CONTROLS) + ")")
 _ESCAPED = re.compile(r"([\\<\[])\\", re.S)
+#: A blank after something that is none: words of PATTERN end here, and what follows is cut as it is within the text.
+_BORDER = re.compile(r"(?<=[^\s\x1c-\x1f]) ")
+#: Ids and conversations that go into one Arrow batch.
+BATCH_IDS, BATCH_PIECES = 1 << 19, 1000
 
 
 def escape(text: str) -> str:
@@ -60,7 +67,15 @@ class Coder:
         self.reserved = {c: self.size + i for i, c in enumerate(CONTROLS)}
 
     def encode(self, text: str) -> list[int]:
-        return [i for k in range(0, len(text), self.stretch) for i in self.encoding.encode_ordinary(text[k : k + self.stretch])]
+        if len(text) <= self.stretch:
+            return self.encoding.encode_ordinary(text)
+        ids, at = [], 0
+        while at < len(text):
+            border = _BORDER.search(text, at + self.stretch)
+            end = border.start() if border else len(text)
+            ids += self.encoding.encode_ordinary(text[at:end])
+            at = end
+        return ids
 
     def assemble(self, turns: list[tuple[str, str]], opening: bool) -> tuple[list[int], list[int], list[int]]:
         """Ids, loss mask and the offsets at which segments begin (with the end), of some turns in sequence."""
@@ -83,6 +98,35 @@ class Coder:
                 steps[b] -= 1
         return [i for ids, _ in segments for i in ids], list(accumulate(steps[:-1])), offsets
 
+    def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], str, int]:
+        """Turns, the text under the mask (unescaped turn by turn) and the formatted length, read back from ids and mask.
+
+        Ids are cut at control strings and where the mask changes, and each stretch between is decoded once.
+        """
+        control = ids >= self.size
+        cuts = np.flatnonzero(control | np.concatenate([[True], mask[1:] != mask[:-1]])) if len(ids) else ids
+        turns: list[tuple[str, str]] = []
+        loss: list[str] = []
+        held: list[bytes] = []
+        role, length = "", 0
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=False):
+            if control[a]:
+                name = CONTROLS[ids[a] - self.size]
+                content, held = unescape(b"".join(held).decode()) if held else "", []
+                length += len(name)
+                if name == "[/ROLE]":
+                    role = content
+                elif name in ("[/INST]", "</s>", "[END]"):
+                    turns.append(({"[/INST]": "user", "</s>": "assistant"}.get(name, role), content))
+                a += 1
+            if a < b:
+                raw = self.encoding.decode_bytes(ids[a:b].tolist())
+                held.append(raw)
+                length += sum((x & 0xC0) != 0x80 for x in raw) if not raw.isascii() else len(raw)
+                if mask[a]:
+                    loss.append(unescape(raw.decode()))
+        return turns, "".join(loss), length
+
     def decode(self, ids: list[int]) -> str:
         """Formatted text, control strings included."""
         out, held = [], []
@@ -94,34 +138,6 @@ class Coder:
                 held.append(i)
         return "".join([*out, self.encoding.decode_bytes(held).decode()])
 
-    def turns(self, ids: list[int]) -> list[tuple[str, str]]:
-        """Roles and texts, read back from ids."""
-        found: list[tuple[str, str]] = []
-        held: list[int] = []
-        role = ""
-        for i in ids:
-            if i < self.size:
-                held.append(i)
-                continue
-            content, held = unescape(self.encoding.decode_bytes(held).decode()) if held else "", []
-            control = CONTROLS[i - self.size]
-            if control == "[/ROLE]":
-                role = content
-            elif control in ("[/INST]", "</s>", "[END]"):
-                found.append(({"[/INST]": "user", "</s>": "assistant"}.get(control, role), content))
-        return found
-
-    def under_mask(self, ids: list[int], mask: list[int]) -> str:
-        """The text under the loss mask, unescaped turn by turn."""
-        out, held = [], []
-        for i, m in zip([*ids, -1], [*mask, 0], strict=True):
-            if m:
-                held.append(i)
-            elif held:
-                out.append(unescape(self.encoding.decode_bytes(held).decode()))
-                held = []
-        return "".join(out)
-
 
 PIECES = "conv_id long, piece long, n_turns long, input_ids array<int>, loss_mask array<int>"
 _PIECES = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("n_turns", pa.int64()), ("input_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int32()))])
@@ -145,20 +161,38 @@ def format_conversations(conversations: DataFrame, vocabulary: str = VOCABULARY,
         coder = built(shipped, Coder)
         conv, piece, held = None, 0, []
 
-        def out():
+        done: list[tuple] = []
+        n_ids = 0
+
+        def put():
+            nonlocal n_ids
             ids, mask, _ = coder.assemble(held, piece == 0)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((conv, piece, len(held), ids, mask), _PIECES.types, strict=True)], schema=_PIECES)
+            done.append((conv, piece, len(held), np.array(ids, np.int32), np.array(mask, np.int32)))
+            n_ids += len(ids)
+
+        def out():
+            nonlocal n_ids
+            conv_ids, numbers, counts, ids, masks = zip(*done, strict=True)
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            columns = [pa.array(x, pa.int64()) for x in (conv_ids, numbers, counts)] + [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (ids, masks)]
+            done.clear()
+            n_ids = 0
+            return pa.RecordBatch.from_arrays(columns, schema=_PIECES)
 
         for batch in batches:
             for c, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if held and (c != conv or len(held) >= turns_per_piece):
-                    yield out()
+                    put()
                     piece, held = (piece + 1 if c == conv else 0), []
+                    if n_ids >= BATCH_IDS or len(done) >= BATCH_PIECES:
+                        yield out()
                 elif c != conv:
                     piece = 0
                 conv = c
                 held.append((role, text))
         if held:
+            put()
+        if done:
             yield out()
 
     return ordered.mapInArrow(run, PIECES)
@@ -168,37 +202,56 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("loss_tokens", pa.int64())])
 
 
-def read_back(pieces: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """What each conversation's ids and mask hold, as digests; only running hashes are kept between pieces."""
+def read_back(pieces: DataFrame, vocabulary: str = VOCABULARY, in_order: bool = False) -> DataFrame:
+    """What each conversation's ids and mask hold, as digests; only running hashes are kept between pieces.
+
+    ``in_order`` says that pieces come as ``format_conversations`` gives them, so they need not be shuffled again.
+    """
     spark = pieces.sparkSession
     ship(spark)
     shipped = _vocabulary(spark, vocabulary)
-    ordered = pieces.select("conv_id", "piece", "input_ids", "loss_mask").repartition(parts(spark), "conv_id").sortWithinPartitions("conv_id", "piece")
+    ordered = pieces.select("conv_id", "piece", "input_ids", "loss_mask")
+    if not in_order:
+        ordered = ordered.repartition(parts(spark), "conv_id").sortWithinPartitions("conv_id", "piece")
 
     def run(batches):
         coder = built(shipped, Coder)
         state = None
+        done: list[tuple] = []
 
-        def out():
+        def put():
             conv, n, turns, chars, loss, formatted, tokens, masked = state
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, tokens, masked), _DIGESTS.types, strict=True)], schema=_DIGESTS)
+            done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, tokens, masked))
+
+        def out():
+            columns = [pa.array(x, t) for x, t in zip(zip(*done, strict=True), _DIGESTS.types, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=_DIGESTS)
 
         for batch in batches:
-            for conv, ids, mask in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            ids_of, masks_of = batch.column(2), batch.column(3)
+            values, flags, offsets = ids_of.values.to_numpy(), masks_of.values.to_numpy(), ids_of.offsets.to_numpy()
+            if not np.array_equal(offsets, masks_of.offsets.to_numpy()):
+                raise ValueError("input_ids and loss_mask differ in length")
+            for k, conv in enumerate(batch.column(0).to_pylist()):
                 if state is None or state[0] != conv:
                     if state is not None:
-                        yield out()
+                        put()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                for role, text in coder.turns(ids):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                loss = coder.under_mask(ids, mask)
+                ids, mask = values[offsets[k] : offsets[k + 1]], flags[offsets[k] : offsets[k + 1]]
+                found, loss, length = coder.read(ids, mask)
+                state[1] += len(found)
+                state[2].update("".join(f"{role}\n{text}\n" for role, text in found).encode())
                 state[3] += len(loss)
                 state[4].update(loss.encode())
-                state[5] += len(coder.decode(ids))
+                state[5] += length
                 state[6] += len(ids)
-                state[7] += sum(mask)
+                state[7] += int(mask.sum())
+            if len(done) >= BATCH_PIECES:
+                yield out()
         if state is not None:
+            put()
+        if done:
             yield out()
 
     return ordered.mapInArrow(run, DIGESTS)
@@ -210,7 +263,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(table.unionByName(probe))).drop("n_tokens", "loss_tokens")
+    return read_back(format_conversations(table.unionByName(probe)), in_order=True).drop("n_tokens", "loss_tokens")
 
 
 SQL = f"""

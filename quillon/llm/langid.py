@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from quillon.llm.shared import SLICE_BYTES, built, held_out, ship, slices, text_buffer
 
 BLANK = 1
+#: A text's number within a call has 16 bits, beside three letters of 16 bits each.
+MOST_TEXTS = 1 << 16
 _CODES: list[np.ndarray] = []
 
 
@@ -53,7 +55,9 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, n-gram, count), sorted by text and n-gram. An n-gram has no blank inside and is not a blank alone."""
+    """(text, n-gram, count), sorted by text and n-gram; MOST_TEXTS texts at most. An n-gram has no blank inside and is not a blank alone."""
+    if len(texts) > MOST_TEXTS:
+        raise ValueError(f"more than {MOST_TEXTS} texts")
     c, owner = letters(texts)
     shift, letter = np.uint64(16), c != BLANK
     one = (owner[letter] << np.uint64(48)) | c[letter]
@@ -82,6 +86,9 @@ class Profiles:
             self.ranks[self.names.index(name), at[gram]] = rank
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        if len(texts) > MOST_TEXTS:
+            done = [self.predict(texts[i : i + MOST_TEXTS]) for i in range(0, len(texts), MOST_TEXTS)]
+            return [x for names, _ in done for x in names], [x for _, scores in done for x in scores]
         whose, gram, count = grams(texts)
         if not len(gram) or not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)

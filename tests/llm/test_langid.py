@@ -65,3 +65,60 @@ def test_long_text_is_read_whole():
     profiles = langid.Profiles([("x", ord("a"), 0), ("y", ord("b"), 0)], 300)
     assert profiles.predict(["a " * 1000 + "b " * 500_000])[0] == ["y"]
     assert np.all(langid.grams(["a" * 300_000])[2] > 0)
+
+
+def code(gram):
+    out = 0
+    for c in gram:
+        out = out << 16 | (langid.BLANK if c == " " else ord(c))
+    return out
+
+
+def ranking(counts, top):
+    return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:top])}
+
+
+def plain(rows, top):
+    """lang_pred and score of every row, by loops over dictionaries."""
+    learned = {}
+    for i, t, lang, _ in rows:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(plain_grams(t or ""))
+    profiles = {lang: ranking(c, top) for lang, c in learned.items() if c}
+    out = []
+    for i, t, *_ in rows:
+        own = ranking(plain_grams(t or ""), top)
+        if not own or not profiles:
+            out.append((i, "und", 0.0))
+            continue
+        far = sorted((sum(abs(p[g] - r) if g in p else top for g, r in own.items()), lang) for lang, p in profiles.items())
+        lead = 1.0 if len(far) == 1 else 0.5 + 0.5 * (far[1][0] - far[0][0]) / max(far[1][0], 1)
+        out.append((i, far[0][1], lead))
+    return sorted(out, key=repr)
+
+
+def test_whole_queries_as_plain_loops(spark, tmp_path):
+    rnd = random.Random(4)
+    names = ["aa", "bb", "cc", "dd"]
+    rows = [(i, text(rnd, lang := rnd.choice(names), rnd.randint(0, 30)) + rnd.choice(["", " 12!", "\n", " É"]), lang, "s") for i in range(120)]
+    rows += [(900, None, "aa", "s"), (901, "", None, "s"), (902, "-- 7", "bb", "s"), (0, *rows[0][1:]), (None, "abc abc", "zz", "s")]
+    frame = docs(spark, rows)
+    for top in (5, 300):
+        got = langid.identify(frame.select("doc_id", "text"), langid.fit(frame, top=top)).collect()
+        assert sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got), key=repr) == plain(rows, top)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = langid.query(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got), key=repr) == plain(rows, 300)
+
+
+def test_more_texts_than_16_bits_number():
+    profiles = langid.Profiles([("x", ord("a"), 0), ("y", ord("b"), 0)], 300)
+    texts = ["a", "b", ""] * 30_000
+    assert profiles.predict(texts)[0] == ["x", "y", "und"] * 30_000
+
+
+def test_clashing_columns(spark):
+    frame = docs(spark, [(1, "abc", "aa", "s")]).withColumnsRenamed({"source": "lang_pred", "n_chars": "score"})
+    got = langid.identify(frame, langid.Profiles([("x", ord("a"), 0)], 300))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert tuple(got.first())[3:] == ("x", 1.0)

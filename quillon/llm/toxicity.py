@@ -7,8 +7,11 @@ label is sampled, its counts are scaled up by its share, and the bias is moved t
 do not follow the sample's shares.
 
 For each labelled text that names a group (an identity term), the same text is made with the other terms of its set in
-that place; the weights minimise the log loss plus ``weight / 2 * (score - score of the changed text)^2`` for each of
-these pairs, in logits. So naming a group cannot carry weight of its own, and neutral mentions do not raise the score.
+that place, and with no group named there; the weights minimise the log loss plus ``weight / 2 * (score - score of the
+changed text)^2`` for each of these pairs, in logits. The last kind of pair is needed as terms that no labelled text has
+could otherwise take on the weight of the one it names. So naming a group carries little weight of its own, and neutral
+mentions hardly raise the score. Where no labelled text names a group there are no pairs, and the classifier is a plain
+ridge-regularised one.
 
 Defined results: null, empty and wordless texts get the score of a text without features; without any usable label all
 scores are 0; with labels of one kind all scores are their smoothed share; repeated documents get a row each; null
@@ -64,7 +67,7 @@ def features(word: str) -> list[str]:
 
 
 class Model:
-    """Weights of features; a word's weights are looked up once and remembered."""
+    """Weights of features; those of a run without white space are looked up once and remembered."""
 
     def __init__(self, bias: float | None, weights: dict[str, float]):
         self.bias, self.weights, self.known = bias, weights, {}
@@ -75,10 +78,11 @@ class Model:
         if len(self.known) > 100_000:
             self.known.clear()
         known, present = self.known, {}
-        for w in words(text):
-            got = known.get(w)
+        # white space is in no word, so each distinct run between is cut into words once
+        for run in set((text or "").lower().split()):
+            got = known.get(run)
             if got is None:
-                got = known[w] = tuple((f, self.weights[f]) for f in features(w) if f in self.weights)
+                got = known[run] = tuple({f: self.weights[f] for w in WORD.findall(run) for f in features(w) if f in self.weights}.items())
             if got:
                 present.update(got)
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(present.values())), -700, 700))))
@@ -140,39 +144,53 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, n_featur
     chosen = list(dict.fromkeys([*_select(sample, n_features, share), *[f"={t}" for t in _SWAPS]]))
     place = {f: i for i, f in enumerate(chosen)}
 
+    def vector(have) -> list[int]:
+        return sorted({place[f] for w in have for f in features(w) if f in place})
+
     def rows(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                have = words(text)
-                vector = lambda ws: sorted({place[f] for w in ws for f in features(w) if f in place})
-                changed = [vector((have - {t}) | {other}) for t in sorted(have & _SWAPS.keys()) for other in _SWAPS[t]]
-                out.append((toxic, vector(have), changed))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))), strict=True)], names=["toxic", "has", "changed"]) if out else pa.RecordBatch.from_pylist([], schema=pa.schema([("toxic", pa.int32()), ("has", pa.list_(pa.int32())), ("changed", pa.list_(pa.list_(pa.int32())))]))
+            found = [vector(words(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "has"])
 
-    got = sample.mapInArrow(rows, "toxic int, has array<int>, changed array<array<int>>").collect()
+    got = sample.mapInArrow(rows, "toxic int, has array<int>").collect()
     x = np.zeros((len(got), len(chosen) + 1), np.float32)
     x[:, -1] = 1
-    pairs = []
     for k, r in enumerate(got):
         x[k, r["has"]] = 1
-        for other in r["changed"]:
-            difference = np.zeros(len(chosen) + 1, np.float32)
-            difference[r["has"]] += 1
-            difference[other] -= 1
-            pairs.append(difference)
     y = np.array([r["toxic"] for r in got], np.float32)
-    w = _minimise(x, y, _gram(pairs, len(chosen) + 1) * weight, ridge)
+    w = _minimise(x, y, _gram(sample, vector, len(chosen) + 1) * weight, ridge)
     # the sample's odds of label 1 are those among all labels times share[1] / share[0]; only the bias carries them
     return Model(float(w[-1] + np.log(share[0] / share[1])), {f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-6})
 
 
-def _gram(pairs: list[np.ndarray], size: int) -> np.ndarray:
-    total = np.zeros((size, size))
-    for i in range(0, len(pairs), 4096):
-        d = np.stack(pairs[i : i + 4096])
-        total += d.T @ d
-    return total
+def _gram(sample: DataFrame, vector, size: int) -> np.ndarray:
+    """The sum of d d' over all pairs of a text and one with a term swapped or left out, d the difference of their features.
+
+    Pairs are summed where they are made: at most size * size / 2 sums reach the driver, however many pairs there are.
+    """
+
+    def sums(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                have = words(text)
+                named = sorted(have & _SWAPS.keys())
+                own = set(vector(have)) if named else set()
+                for term in named:
+                    for other in (*_SWAPS[term], None):
+                        changed = set(vector((have - {term}) | {other} if other else have - {term}))
+                        d = [(i, 1) for i in own - changed] + [(i, -1) for i in changed - own]
+                        for i, a in d:
+                            for j, b in d:
+                                if i <= j:
+                                    total[i, j] += a * b
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keys], pa.int32()), pa.array([j for _, j in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["i", "j", "n"])
+
+    gram = np.zeros((size, size))
+    for r in sample.select("text").mapInArrow(sums, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["n"]
+    return gram
 
 
 def _minimise(x: np.ndarray, y: np.ndarray, gram: np.ndarray, ridge: float) -> np.ndarray:

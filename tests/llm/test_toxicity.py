@@ -1,11 +1,12 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from quillon.llm import toxicity
 
-from .helpers import docs, sentence
+from .helpers import docs, save, sentence
 
 
 def corpus(n=400, bad=("idiot", "scum"), rate=0.3):
@@ -84,3 +85,50 @@ def test_scores_do_not_follow_the_samples_shares(spark):
         means.append(sum(r["score"] for r in got) / len(got))
     assert 0.02 < min(rates) and max(rates) - min(rates) < 0.03
     assert max(means) - min(means) < 0.05
+
+
+def test_gram_as_brute_force(spark):
+    texts = ["a muslim and a gay man", "nobody here", None, "women women", "The CHINESE food"]
+    place = {f"={t}": i for i, t in enumerate(sorted(toxicity._SWAPS))} | {"^gay": 300, "^mus": 301, "=food": 302}
+    vector = lambda have: sorted({place[f] for w in have for f in toxicity.features(w) if f in place})
+    want = np.zeros((400, 400))
+    for t in texts:
+        have = toxicity.words(t)
+        for term in have & toxicity._SWAPS.keys():
+            for other in [{x} for x in toxicity._SWAPS[term]] + [set()]:
+                d = np.zeros(400)
+                d[vector(have)] += 1
+                d[vector((have - {term}) | other)] -= 1
+                want += np.outer(d, d)
+    sample = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert np.array_equal(toxicity._gram(sample, vector, 400), want)
+
+
+def test_counterfactuals_decide_whole_queries(spark, tmp_path):
+    """Where a group is mostly named in toxic texts, neutral mentions are false positives without the penalty."""
+    rnd = random.Random(9)
+    rows, labels, neutral = [], [], []
+    for i in range(1200):
+        toxic = rnd.random() < 0.2
+        w = sentence(rnd, rnd.randint(5, 30)).split()
+        if toxic and rnd.random() < 0.6:
+            w.insert(rnd.randrange(len(w)), "scum")
+        if rnd.random() < (0.9 if toxic else 0.04):
+            w.insert(rnd.randrange(len(w)), "muslim")
+            if not toxic:
+                neutral.append(i)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    folder = save(spark, tmp_path, documents=docs(spark, rows), labels=spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.query(spark, folder).collect()}
+    plain = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), weight=0.0).collect()}
+    assert sum(plain[i] for i in neutral) > 0.8 * len(neutral) > 0
+    assert sum(got[i] for i in neutral) < 0.5 * sum(plain[i] for i in neutral)
+    assert all(got[i] for i, t in rows if "scum" in t)
+
+
+def test_runs_of_words_score_as_their_words():
+    model = toxicity.Model(-2.0, {"=bad": 1.0, "^bad": 0.5, "=worse": 2.0})
+    logit = lambda p: float(np.log(p / (1 - p)))
+    assert logit(model.score("bad,worse(bad)-BAD\u00a0x")) == pytest.approx(1.5)
+    assert logit(model.score("bad worse")) == logit(model.score("worse/bad"))

@@ -41,13 +41,17 @@ RULES = {
 def with_repeated_window_words(table: DataFrame, words: str, name: str, width: int = 8) -> DataFrame:
     """Adds how many words lie in windows of `width` words found twice or more in the text, the first included.
 
-    Windows are compared by a 64-bit hash. Sorted (hash, start) pairs put equal windows side by side; starts of windows
+    Windows are compared by a 64-bit hash, put together from those of their halves, so a word is hashed once. Sorted (hash, start) pairs put equal windows side by side; starts of windows
     that have an equal neighbour are sorted and each covers the words up to the next start, `width` at most. Each step
     is a column of its own, so that it is worked out once; texts without an equal pair end after the first.
     """
-    size = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
-    table = table.withColumn("__h", F.when(size > width, windows))
+    table = table.withColumn("__h", F.when(F.size(words) > width, F.transform(words, lambda w: F.xxhash64(w))))
+    done = 1
+    while done < width:  # windows of `done` words, and those that begin `step` words later: windows of done + step words
+        step = min(done, width - done)
+        later, left = F.slice("__h", F.lit(step + 1), F.size("__h")), F.slice("__h", F.lit(1), F.size("__h") - step)
+        table = table.withColumn("__h", F.zip_with(left, later, lambda a, b: F.xxhash64(a, b)))
+        done += step
     several = F.size(F.array_distinct("__h")) < F.size("__h")
     pairs = F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     table = table.withColumn("__ranked", F.when(several, F.array_sort(pairs))).drop("__h")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import quality
 
-from .helpers import docs, sentence
+from .helpers import docs, save, sentence
 
 
 def brute(text):
@@ -72,3 +72,34 @@ def test_native_plan(spark):
 def test_extra_columns_stay(spark):
     frame = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, stratum string")
     assert quality.statistics(frame).first()["stratum"] == "mine"
+
+
+def test_verdicts_against_sql_where_the_method_rejects(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(7)
+    good = [(i, sentence(rnd, 80)) for i in range(1500)]
+    bad = [(10_000 + i, "### ".join(sentence(rnd, rnd.choice((30, 80))).split())) for i in range(60)] + [(20_000 + i, sentence(rnd, 90).upper()) for i in range(20)] + [(1, None), (30_000, "short")]
+    labels = [(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(77_777, 1), (3, None), (5, 1)]
+    folder = save(spark, tmp_path, documents=docs(spark, good + bad), labels=spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = quality.query(spark, folder).collect()
+    names = sorted(got[0].asDict())
+    with duckdb.connect() as db:
+        for t in ("documents", "labels"):
+            db.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+        want = db.sql(f"select {', '.join(names)} from ({quality.SQL})").fetchall()
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(want)
+    by_method = sum(not r["kept"] and not r["base_failed"] for r in got)
+    assert by_method >= 40
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 8])
+def test_windows_of_any_width(spark, width):
+    rnd = random.Random(width)
+    texts = [[rnd.choice("abc") for _ in range(rnd.randint(0, 14))] for _ in range(60)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, w array<string>")
+    got = {r["i"]: r["n"] for r in quality.with_repeated_window_words(frame, "w", "n", width).collect()}
+    for i, t in enumerate(texts):
+        windows = [tuple(t[a : a + width]) for a in range(len(t) - width + 1)]
+        times = Counter(windows)
+        assert got[i] == len({p for a, x in enumerate(windows) if times[x] > 1 for p in range(a, a + width)})

@@ -253,8 +253,9 @@ def _placed_documents(documents: DataFrame, n_new: int, old, file_rows: int, mov
     """Documents with ADDED, dealt out to files of file_rows slots of a shard, in order; and the plan's rows."""
     names = [c for c in documents.columns if c not in ADDED]
     hidden = [F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(names)]
-    numbered = materialise(documents.select(*hidden, F.col("doc_id"), F.col("text"), (old_layout(16) if old is None else old).cast("int").alias("__old"), F.monotonically_increasing_id().alias(_ROW)), "numbered")
-    plan = materialise(_plan(numbered, n_new, F.col("__old"), _ROW), "plan")
+    numbered = materialise(documents.select(*hidden, (old_layout(16) if old is None else old).cast("int").alias("__old"), F.monotonically_increasing_id().alias(_ROW)), "numbered")
+    known = [F.col(f"__own_{names.index(c)}").alias(c) for c in ("doc_id", "text")]
+    plan = materialise(_plan(numbered.select(*known, "__old", _ROW), n_new, F.col("__old"), _ROW), "plan")
     todo = plan.select(_ROW, *ADDED)
     if moved_only:
         changed = todo.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()

@@ -29,7 +29,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resharding.reshard(docs)
+    return resharding.shard_documents(docs)
 
 
 STAGES = [

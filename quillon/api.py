@@ -12,6 +12,7 @@ from quillon.functions.vectors import scale_single
 from quillon.index import SparseIndex
 from quillon.sources.queries import frame_weights, parse_lines, read_lines, text_weights
 from quillon.sources.runs import TAG, result_frame, run_lines
+from quillon.sources.storage import new_path
 
 
 def build_from_ciff(spark: SparkSession, ciff_file: str, output: str, bsize: int, compress_range: bool = False) -> SparseIndex:
@@ -32,6 +33,9 @@ def search_run(spark: SparkSession, index: str, queries: str, k: int, alpha: flo
     return "".join(f"{r['value']}\n" for r in lines.collect())
 
 
+FINISHED = "the index is finished already"
+
+
 class Searcher:
     """Loads an index once and keeps its tables in memory, on disk where they do not fit."""
 
@@ -68,24 +72,49 @@ class _Once:
 
     def _finish(self, build) -> SparseIndex:
         if self.done:
-            raise RuntimeError("the index is finished already")
+            raise RuntimeError(FINISHED)
         found = build().save(self.path)
         self.done = True
         return found
 
 
+class _Spool:
+    """Rows given one by one, numbered, and written to the shared folder whenever ``limit`` are held by the driver."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str, limit: int = 20_000):
+        self.spark, self.schema, self.limit, self.rows, self.n = spark, f"ordinal long, {schema}", limit, [], 0
+        self.path = new_path(spark, name)
+
+    def add(self, *row) -> None:
+        self.rows.append((self.n, *row))
+        self.n += 1
+        if len(self.rows) >= self.limit:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.spark.createDataFrame(self.rows, self.schema).write.mode("append").parquet(self.path)
+        self.rows = []
+
+    def frame(self) -> DataFrame:
+        """All rows; `ordinal` is the order in which they came."""
+        self._flush()
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 class Indexer(_Once):
-    """Documents one by one. They are held by the driver: for many, give a DataFrame to SparseIndex.from_vectors."""
+    """Documents one by one, as small batches go from the driver to the shared folder."""
 
     def __init__(self, *args, **options):
         super().__init__(*args, **options)
-        self.rows: list[tuple[str, dict[str, int]]] = []
+        self.rows = _Spool(self.spark, "indexer", "docno string, toks map<string,int>")
 
     def add_document(self, doc_id: str, vector: Mapping[str, int]) -> None:
-        self.rows.append((doc_id, dict(vector)))
+        self.rows.add(doc_id, dict(vector))
 
     def finish(self) -> SparseIndex:
-        frame = self.spark.createDataFrame(self.rows, "docno string, toks map<string,int>")
+        if self.done:
+            raise RuntimeError(FINISHED)
+        frame = self.rows.frame().orderBy("ordinal")
         return self._finish(lambda: SparseIndex.from_vectors(frame, self.bsize, compress_range=self.compress_range))
 
 
@@ -94,21 +123,24 @@ class InvertedIndexer(_Once):
 
     def __init__(self, *args, **options):
         super().__init__(*args, **options)
-        self.docs: list[tuple[str, list[tuple[int, int]]]] = []
-        self.terms: list[tuple[str, list[tuple[int, int]]]] = []
+        self.docs = _Spool(self.spark, "indexer-docs", "docno string, vector array<struct<term:long,impact:long>>")
+        self.terms = _Spool(self.spark, "indexer-terms", "term string, postings array<struct<doc_id:long,impact:int>>")
 
     def add_document(self, doc_id: str, vector: Iterable[tuple[int, int]]) -> None:
-        self.docs.append((doc_id, list(vector)))
+        self.docs.add(doc_id, list(vector))
 
     def add_term(self, term: str, postings: Iterable[tuple[int, int]]) -> None:
-        self.terms.append((term, list(postings)))
+        self.terms.add(term, list(postings))
 
     def finish(self) -> SparseIndex:
-        docs = self.spark.createDataFrame([(i, name) for i, (name, _) in enumerate(self.docs)], "doc_id long, docno string")
-        lists = self.spark.createDataFrame(self.terms, "term string, postings array<struct<doc_id:long,impact:int>>")
-        named = [(i, self.terms[t][0], w) for i, (_, vector) in enumerate(self.docs) for t, w in vector]
-        forward = self.spark.createDataFrame(named, "doc_id long, term string, impact long")
-        return self._finish(lambda: SparseIndex.from_postings(docs, lists, self.bsize, forward, self.compress_range))
+        if self.done:
+            raise RuntimeError(FINISHED)
+        docs, lists = self.docs.frame(), self.terms.frame()
+        given = docs.select(F.col("ordinal").alias("doc_id"), F.explode("vector").alias("v")).select("doc_id", F.col("v.term").alias("number"), "v.impact")
+        known = given.join(lists.select(F.col("ordinal").alias("number"), "term"), "number", "left")
+        unknown = F.raise_error(F.concat(F.lit("a document names a term that is not there: "), F.col("number").cast("string"))).cast("string")
+        forward = known.select("doc_id", F.when(F.col("term").isNull(), unknown).otherwise(F.col("term")).alias("term"), "impact")
+        return self._finish(lambda: SparseIndex.from_postings(docs.select(F.col("ordinal").alias("doc_id"), "docno"), lists.select("term", "postings"), self.bsize, forward, self.compress_range))
 
 
 class IndexHandle:

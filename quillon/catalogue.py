@@ -1,20 +1,26 @@
 """The queries of the retrieval engine and the SQL each is held against.
 
 Documents are vectors of token counts (255 at most), benchmark items are queries; tokens part at ASCII white space and
-keep their case. Every query runs over its whole tables, but for order_part_search, whose SQL asks for suppliers 1 to 10
-only; order_part_search_all asks for all of them.
+keep their case. Every query runs over its whole tables. Queries named index_* and ciff_* build an index in the shared folder,
+save it, load it again and ask that.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.vectors import TOP_IMPACT, scale_batch, scale_impacts, scale_single, term_counts
+from quillon.api import IndexHandle, Retriever, search_file
+from quillon.functions.vectors import TOP_IMPACT, block_of, global_of, local_of, narrow, scale_batch, scale_impacts, scale_single, term_counts
+from quillon.index import SparseIndex
 from quillon.operators import ranking, tables
 from quillon.plans.search import Tables, live_blocks, search, two_waves
+from quillon.sources import ciff
 from quillon.sources.queries import parse_lines, text_weights
-from quillon.sources.runs import result_frame, run_lines
+from quillon.sources.runs import result_frame, run_lines, write_run
+from quillon.sources.storage import new_path
 
 ASCII = "[ \\t\\n\\r\\f]+"
 BSIZE = 32
@@ -96,7 +102,7 @@ def bounds_raw(spark, sf):
     """Bounds by way of the dense form of the maxima."""
     p = postings(spark, sf)
     last = spark.read.parquet(f"{sf}/documents.parquet").agg(F.max("doc_id")).first()[0]
-    known = tables.block_maxima(p).join(F.broadcast(queries_tf(spark, sf).select("term").distinct()), "term", "left_semi")
+    known = tables.block_maxima(p).join(ranking.small(queries_tf(spark, sf).select("term").distinct()), "term", "left_semi")
     dense = tables.raw_maxima(known, (last or 0) // BSIZE + 1)
     return ranking.upper_bounds(ranking.small(queries_tf(spark, sf)), tables.from_raw(dense))
 
@@ -106,7 +112,8 @@ def seed(k):
 
 
 def live(spark, sf):
-    return live_blocks(all_tables(spark, sf), ranking.small(queries_tf(spark, sf)), 10).select("qid", "pos", "block_id", "ub")
+    found = live_blocks(all_tables(spark, sf), ranking.small(queries_tf(spark, sf)), 10)
+    return ranking.with_positions(found).select("qid", "pos", "block_id", "ub")
 
 
 def block_forward(spark, sf):
@@ -141,7 +148,7 @@ def topk_two_waves(spark, sf):
 def stop_positions(spark, sf):
     t = all_tables(spark, sf)
     q = ranking.small(queries_tf(spark, sf))
-    blocks = live_blocks(t, q, 10)
+    blocks = ranking.with_positions(live_blocks(t, q, 10))
     product = F.col("weight").cast("long") * F.col("impact").cast("long")
     scored = t.postings.join(q, "term").join(blocks.select("qid", "block_id", "pos"), ["qid", "block_id"]).groupBy("qid", "doc_id", "pos").agg(F.sum(product).alias("score")).where("score > 0")
     return ranking.stop_positions(scored, blocks, 10, 0.7)
@@ -174,7 +181,7 @@ def inverted_equals_forward(spark, sf):
     """Each term's postings by way of its list and by way of its blocks: differences, none expected, and the count."""
     p = postings(spark, sf)
     lists = tables.decode_gaps(tables.encode_gaps(p)).select("term", "doc_id", F.col("impact").cast("long").alias("impact"))
-    blocks = tables.forward_blocks(p, BSIZE).select("block_id", "term", F.explode("documents").alias("d")).select("term", (F.col("block_id") * BSIZE + F.col("d.local")).cast("long").alias("doc_id"), F.col("d.impact").cast("long").alias("impact"))
+    blocks = tables.forward_blocks(p, BSIZE).select("block_id", "term", F.explode("documents").alias("d")).select("term", global_of(F.col("block_id").cast("long"), F.col("d.local"), BSIZE).alias("doc_id"), F.col("d.impact").cast("long").alias("impact"))
     both = lists.withColumn("side", F.lit(1)).unionByName(blocks.withColumn("side", F.lit(-1))).groupBy("term", "doc_id", "impact").agg(F.sum("side").alias("d"), F.count("*").alias("n"))
     return both.agg(F.coalesce(F.sum(F.abs("d")), F.lit(0)).cast("long").alias("differences"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("postings"))
 
@@ -186,18 +193,144 @@ def query_lines(spark, sf):
     return _long(text_weights(parse_lines(lines), ASCII), "weight")
 
 
-def order_part_search_all(spark, sf, only: str = "true"):
-    """Orders as vectors of their parts' quantities, searched by suppliers' baskets of parts: sparse vectors without text."""
+def order_part_search_all(spark, sf):
+    """Orders as vectors of their parts' quantities, searched by all suppliers' baskets of parts: sparse vectors without text."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     vectors = tables.merged(items.select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term"), F.col("l_quantity").cast("int").alias("impact")))
     vectors = vectors.withColumn("impact", F.least("impact", F.lit(TOP_IMPACT)))
-    asked = items.where(only).groupBy(F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("term")).agg(F.count("*").alias("weight"))
+    asked = items.groupBy(F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("term")).agg(F.count("*").alias("weight"))
     return search(Tables(vectors, None, None), scale_batch(asked), 10)
 
 
-def order_part_search(spark, sf):
-    """order_part_search_all with the baskets of suppliers 1 to 10, as its SQL has it."""
-    return order_part_search_all(spark, sf, "l_suppkey <= 10")
+def vectors(spark, sf) -> DataFrame:
+    """(docno, toks) of all documents, in the order of doc_id, so that ties go by it"""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    counts = term_counts(docs, "doc_id", pattern=ASCII, name="n").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("n").cast("int")))).alias("toks"))
+    named = docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", _docno(), F.coalesce("toks", F.create_map().cast("map<string,int>")).alias("toks"))
+    return named.orderBy("doc_id").select("docno", "toks")
+
+
+def _docno():
+    return F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("docno")
+
+
+def saved_index(spark, sf, **options) -> SparseIndex:
+    path = new_path(spark, "catalogue-index")
+    SparseIndex.from_vectors(vectors(spark, sf), BSIZE, impacts="clip", **options).save(path)
+    return SparseIndex.load(spark, path)
+
+
+def index_search(**options):
+    """Vectors to an index, saved, loaded, and searched with the documents' names."""
+    return lambda spark, sf: saved_index(spark, sf).search(queries_tf(spark, sf), 10, **options)
+
+
+def index_terms(spark, sf):
+    """The saved index's lexicon: dense ids in the order of terms, with the statistics of each."""
+    return _long(saved_index(spark, sf).terms.select("term_id", "term", "df", "max_impact", "k10", "k100", "k1000"), "term_id", "max_impact", "k10", "k100", "k1000")
+
+
+def index_postings(spark, sf):
+    """The saved index's postings by document: how many terms, and the sum of impacts."""
+    index = saved_index(spark, sf)
+    sums = index.postings.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum(F.col("impact").cast("long")).alias("sum_impact"))
+    named = index.docs.join(sums, "doc_id", "left")
+    return named.select("doc_id", "docno", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("sum_impact", F.lit(0)).alias("sum_impact"))
+
+
+def index_description(spark, sf):
+    index = saved_index(spark, sf)
+    row = (index.about.bsize, index.about.num_docs, index.about.num_terms, index.statistics()["n_blocks"])
+    return spark.createDataFrame([row], "bsize long, num_docs long, num_terms long, n_blocks long")
+
+
+def index_raw_maxima(spark, sf):
+    """An index saved with its dense block maxima, read back from these."""
+    path = new_path(spark, "catalogue-raw")
+    index = SparseIndex.from_vectors(vectors(spark, sf), BSIZE, impacts="clip", compress_range=False).save(path)
+    maxima = tables.from_raw(spark.read.parquet(f"{path}/block_max_raw"), "term_id").join(index.terms.select("term_id", "term"), "term_id")
+    return maxima.groupBy("term").agg(F.count("*").alias("n_blocks"), F.sum(F.col("max_impact").cast("long")).alias("sum_max"), F.max("block_id").cast("long").alias("last_block"))
+
+
+def inverted_index_search(spark, sf):
+    """Terms' lists and documents' vectors to an index: both sides are compared, then searched as any other."""
+    p = postings(spark, sf).select("doc_id", "term", F.col("impact").cast("int").alias("impact"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", _docno())
+    lists = p.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "impact"))).alias("postings"))
+    path = new_path(spark, "catalogue-inverted")
+    return SparseIndex.from_postings(docs, lists, BSIZE, p).save(path).search(queries_tf(spark, sf), 10)
+
+
+def _ciff_file(spark, sf) -> str:
+    """The documents as a file in the Common Index File Format, in the shared folder; lists stream through the driver."""
+    folder = new_path(spark, "catalogue-ciff").removeprefix("file://")
+    os.makedirs(folder)
+    path = f"{folder}/documents.ciff"
+    p = postings(spark, sf).select("doc_id", "term", F.col("impact").cast("int").alias("impact"))
+    lists = p.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "impact"))).alias("postings")).orderBy("term")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", _docno()).orderBy("doc_id")
+    n_docs, n_lists, n_terms = docs.count(), lists.count(), p.agg(F.sum("impact")).first()[0] or 0
+    header = ciff.Header(1, n_lists, n_docs, n_lists, n_docs, n_terms, n_terms / max(1, n_docs), "catalogue")
+    ciff.write(path, header, ((r["term"], [tuple(x) for x in r["postings"]]) for r in lists.toLocalIterator()), ((r["docno"], 0) for r in docs.toLocalIterator()))
+    return path
+
+
+def ciff_lists(spark, sf):
+    """A file's lists, with gaps turned back into documents."""
+    read = ciff.read(spark, _ciff_file(spark, sf))
+    back = tables.decode_gap_lists(read).groupBy("term").agg(F.count("*").alias("n"), F.sum("doc_id").alias("sum_doc"), F.max("doc_id").alias("max_doc"), F.sum("impact").alias("sum_impact"))
+    return read.select("term", "ordinal", "df", "cf").join(back, "term")
+
+
+def ciff_documents(spark, sf):
+    return _long(ciff.read(spark, _ciff_file(spark, sf), "docs"), "doc_id", "doclength")
+
+
+def ciff_header(spark, sf):
+    """The header of a file, field by field and as text."""
+    header = ciff.read_header(_ciff_file(spark, sf))
+    return spark.createDataFrame([(header.num_docs, header.num_postings_lists, header.total_terms_in_collection, str(header))], "num_docs long, num_lists long, num_terms long, text string")
+
+
+def ciff_search(spark, sf):
+    """A file to an index, saved, loaded and searched."""
+    path = new_path(spark, "catalogue-ciff-index")
+    SparseIndex.from_ciff(spark, _ciff_file(spark, sf), BSIZE).save(path)
+    return SparseIndex.load(spark, path).search(queries_tf(spark, sf), 10)
+
+
+def index_run_file(spark, sf):
+    """A file of query lines to a run file in the order of queries: tokens at any Unicode white space."""
+    index, lines, run = (new_path(spark, f"catalogue-{x}") for x in ("run-index", "lines", "run"))
+    SparseIndex.from_vectors(vectors(spark, sf), BSIZE, impacts="clip").save(index)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id")
+    items.select(F.concat(F.col("item_id").cast("string"), F.lit(": "), F.regexp_replace("text", "[\\r\\n]+", " "))).coalesce(1).write.text(lines)
+    found = search_file(spark, index, lines, 10)
+    write_run(found, run, found.select("qid", "q_ord").distinct())
+    return spark.read.text(run)
+
+
+def index_retriever(spark, sf):
+    """A frame of queries with float weights through a retriever of 1000 results whose cut to 5 is merged into the search."""
+    handle = IndexHandle(spark, new_path(spark, "catalogue-handle"))
+    handle.index(vectors(spark, sf), BSIZE, impacts="clip")
+    weights = raw_queries(spark, sf).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("weight").cast("float")))).alias("query_toks"))
+    cut: Retriever = handle.retriever(1000).fuse_rank_cutoff(5)
+    return _long(cut.transform(weights).drop("query_toks"), "rank").withColumn("score", F.col("score").cast("double"))
+
+
+def impact_narrowed(spark, sf):
+    """Impacts of any size as bytes, by the nearest one and by the low byte."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    wide = F.floor(F.col("l_extendedprice") - 20_000)
+    return items.select("l_orderkey", "l_linenumber", narrow(wide, "clip").cast("long").alias("clipped"), narrow(wide, "wrap").cast("long").alias("wrapped"))
+
+
+def block_numbers(spark, sf):
+    """Documents by block and place in it, and back."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    cut = docs.select("doc_id", block_of(F.col("doc_id"), BSIZE).alias("block"), local_of(F.col("doc_id"), BSIZE).alias("place"))
+    return cut.select("doc_id", F.col("block").cast("long").alias("block"), F.col("place").cast("long").alias("place"), global_of(F.col("block"), F.col("place"), BSIZE).cast("long").alias("again"))
 
 
 QUERIES = {
@@ -235,8 +368,22 @@ QUERIES = {
     "result_frame": frame_results,
     "rank_cutoff_fused": rank_cutoff,
     "impact_scale_float": impact_scale_float,
-    "order_part_search": order_part_search,
     "order_part_search_all": order_part_search_all,
+    "index_search_10": index_search(),
+    "index_search_pruned_10": index_search(prune=True),
+    "index_terms": index_terms,
+    "index_postings": index_postings,
+    "index_description": index_description,
+    "index_raw_maxima": index_raw_maxima,
+    "index_run_file": index_run_file,
+    "index_retriever": index_retriever,
+    "inverted_index_search": inverted_index_search,
+    "ciff_lists": ciff_lists,
+    "ciff_documents": ciff_documents,
+    "ciff_header": ciff_header,
+    "ciff_search": ciff_search,
+    "impact_narrowed": impact_narrowed,
+    "block_numbers": block_numbers,
 }
 
 _SPLIT = "string_split_regex(text, '[ \\t\\n\\r\\f]+')"
@@ -282,6 +429,7 @@ def _sql_alpha(alpha: float, beta: float | None) -> str:
 
 
 _TOP10 = _sql_exact(10)
+_NAMED = f"select qid, 'd' || doc_id docno, score, rank from ({_TOP10})"
 _SEED = "with {dv}, {qv}, {ts} select qid, max({k} * qw)::bigint tau from ts join qv using (term) group by 1"
 
 ORACLE_SQL = {
@@ -319,6 +467,22 @@ ORACLE_SQL = {
     "result_frame": f"select t.qid, length(text)::bigint n_chars, 'd' || doc_id docno, score::double score, rank - 1 rank from ({_TOP10}) t join benchmark on item_id = t.qid",
     "rank_cutoff_fused": _sql_exact(5),
     "impact_scale_float": "select l_orderkey, l_linenumber, trunc(l_discount * 2.9::double * 100.0::double)::bigint impact from lineitem",
-    "order_part_search": "with dv as (select l_orderkey doc_id, l_partkey term, least(255, sum(trunc(l_quantity)::bigint)) w from lineitem group by 1, 2), q as (select l_suppkey qid, l_partkey term, count(*) n from lineitem where l_suppkey <= 10 group by 1, 2), qv as (select qid, term, case when m > 32 then ceil(n::float * (32.0::double / m)::float)::bigint else n end qw from (select *, max(n) over (partition by qid) m from q)), s as (select qid, doc_id, sum(w * qw)::bigint score from dv join qv using (term) group by 1, 2) " + _sql_top(10),
     "order_part_search_all": "with dv as (select l_orderkey doc_id, l_partkey term, least(255, sum(trunc(l_quantity)::bigint)) w from lineitem group by 1, 2), q as (select l_suppkey qid, l_partkey term, count(*) n from lineitem group by 1, 2), qv as (select qid, term, case when m > 32 then ceil(n::float * (32.0::double / m)::float)::bigint else n end qw from (select *, max(n) over (partition by qid) m from q)), s as (select qid, doc_id, sum(w * qw)::bigint score from dv join qv using (term) group by 1, 2) " + _sql_top(10),
+    "index_search_10": _NAMED,
+    "index_search_pruned_10": _NAMED,
+    "index_terms": f"with {_DV}, {_TS} select row_number() over (order by term) - 1 term_id, * from ts",
+    "index_postings": f"with {_DV} select doc_id, 'd' || doc_id docno, count(term) n_terms, coalesce(sum(w), 0)::bigint sum_impact from (select distinct doc_id from documents) left join dv using (doc_id) group by 1",
+    "index_description": f"with {_DV} select {BSIZE}::bigint bsize, (select count(*) from documents) num_docs, count(distinct term) num_terms, count(distinct b) n_blocks from dv",
+    "index_raw_maxima": f"with {_DV}, {_BM} select term, count(*) n_blocks, sum(m)::bigint sum_max, max(b)::bigint last_block from bm group by 1",
+    "index_run_file": f"select qid || ' Q0 d' || doc_id || ' ' || rank || ' ' || score || ' quillon' \"value\" from ({_TOP10})",
+    "index_retriever": f"select qid, 'd' || doc_id docno, score::double score, rank - 1 rank from ({_sql_exact(5, _QR + ', qf as (select qid, term, ceil(n::float * (32.0::double / m)::float)::bigint qw from (select *, max(n) over (partition by qid) m from qr))', 'qf')})",
+    "inverted_index_search": _NAMED,
+    "ciff_lists": f"with {_DV} select term, row_number() over (order by term) - 1 ordinal, count(*) df, sum(w)::bigint cf, count(*) n, sum(doc_id)::bigint sum_doc, max(doc_id) max_doc, sum(w)::bigint sum_impact from dv group by 1",
+    "ciff_documents": "select row_number() over (order by doc_id) - 1 doc_id, 'd' || doc_id docno, 0::bigint doclength from documents",
+    "ciff_header": f"""with {_DV}, n as (select (select count(*) from documents) d, count(distinct term) l, coalesce(sum(w), 0)::bigint t from dv)
+      select d num_docs, l num_lists, t num_terms, concat_ws(chr(10), '----- CIFF HEADER -----', 'Version: 1', 'No. Postings Lists: ' || l, 'Total Postings Lists: ' || l, 'No. Documents: ' || d, 'Total Documents: ' || d,
+        'Total Terms in Collection ' || t, 'Average Document Length: ' || format('{{:g}}', t / d), 'Description: catalogue', '-----------------------') "text" from n""",
+    "ciff_search": _NAMED,
+    "impact_narrowed": "select l_orderkey, l_linenumber, least(255, greatest(0, x)) clipped, ((x % 256) + 256) % 256 wrapped from (select *, floor(l_extendedprice - 20000)::bigint x from lineitem)",
+    "block_numbers": f"select doc_id, doc_id // {BSIZE} block, doc_id % {BSIZE} place, doc_id again from documents",
 }

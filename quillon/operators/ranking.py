@@ -57,15 +57,30 @@ def seeds(queries: DataFrame, statistics: DataFrame, k: int, term: str = "term")
 
 
 def live_blocks(bounds: DataFrame, tau: DataFrame, strict: bool = False) -> DataFrame:
-    """Blocks that can hold a result (qid, block_id, ub, tau, pos): by bound descending, then block_id."""
+    """Blocks that can hold a result (qid, block_id, ub, tau)."""
     enough = F.col("ub") > F.col("tau") if strict else F.col("ub") >= F.col("tau")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("ub"), "block_id"))
-    return bounds.join(tau, "qid").where(enough & (F.col("ub") > 0)).withColumn("pos", (place - 1).cast("long"))
+    return bounds.join(tau, "qid").where(enough & (F.col("ub") > 0))
+
+
+def with_positions(live: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """live with pos from 0, by bound descending, then block_id.
+
+    Blocks of one bound and range of ``span`` are put in order by themselves; what lies before them comes from counts,
+    so a query's blocks are never in one task as a whole.
+    """
+    cut = live.withColumn("__range", F.floor(F.col("block_id") / span))
+    counts = cut.groupBy("qid", "ub", "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("qid").orderBy(F.desc("ub"), "__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("qid", "ub", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("qid", "ub", "__range").orderBy("block_id"))
+    placed = cut.withColumn("__within", within - 1).join(starts, ["qid", "ub", "__range"])
+    return placed.withColumn("pos", (F.col("__start") + F.col("__within")).cast("long")).drop("__range", "__start", "__within")
 
 
-def only_live(postings: DataFrame, live: DataFrame) -> DataFrame:
-    """(qid, block_id, ...) rows of blocks that are live for their query."""
-    return postings.join(live.select("qid", "block_id"), ["qid", "block_id"], "left_semi")
+def first_blocks(live: DataFrame, n: int) -> DataFrame:
+    """The n blocks of each query with the highest bounds; the rank filter goes below the shuffle."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("ub"), "block_id"))
+    return live.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
 
 
 def stop_positions(scored: DataFrame, live: DataFrame, k: int, alpha: float) -> DataFrame:
@@ -78,8 +93,10 @@ def stop_positions(scored: DataFrame, live: DataFrame, k: int, alpha: float) ->
     """
     limit = lambda c: F.lit(alpha).cast("float") * F.col(c).cast("float")
     early = live.where(F.col("tau").cast("float") > limit("ub")).groupBy("qid").agg(F.min("pos").alias("by_seed"))
-    # scores and bounds in one order: the first position whose limit is under a score is found by a running minimum
-    marks = live.select("qid", limit("ub").alias("at"), F.lit(0).alias("kind"), "pos").unionByName(scored.select("qid", F.col("score").cast("float").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("pos")).distinct())
+    # scores and bounds in one order: the first position whose limit is under a score is found by a running minimum.
+    # Bounds and scores are whole numbers under 256 * 32 * terms of the query, and that many rows of each there are at most
+    limits = live.groupBy("qid", limit("ub").alias("at")).agg(F.min("pos").alias("pos")).withColumn("kind", F.lit(0))
+    marks = limits.select("qid", "at", "kind", "pos").unionByName(scored.select("qid", F.col("score").cast("float").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("pos")).distinct())
     # a score comes after limits that are smaller, and before equal ones
     under = Window.partitionBy("qid").orderBy("at", F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = marks.withColumn("first", F.min("pos").over(under)).where("kind = 1").select("qid", "at", "first")
@@ -90,9 +107,13 @@ def stop_positions(scored: DataFrame, live: DataFrame, k: int, alpha: float) ->
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, score, rank from 1): best first, ties by doc_id. The rank filter is pushed below the shuffle."""
+    """(qid, doc_id, score, rank from 1): best first, ties by doc_id. The rank filter is pushed below the shuffle.
+
+    Spark pushes such filters up to a limit of the session, which is raised to k where it is lower, and stays so: it is
+    read when the result is planned, after this returns. It changes plans of rank filters only, no results.
+    """
     conf = scores.sparkSession.conf
-    if k > int(conf.get(GROUP_LIMIT)):  # else Spark does not push it
+    if k > int(conf.get(GROUP_LIMIT)):
         conf.set(GROUP_LIMIT, str(k))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

@@ -38,10 +38,12 @@ def search(tables: Tables, queries: DataFrame, k: int, alpha: float = 1.0, beta:
     compat = mode == "compat"
     if not (prune or compat or alpha < 1):
         return ranking.top_k(ranking.document_scores(kept, tables.postings, tables.term), k)
-    live = live_blocks(tables, kept, k, compat)
+    live, order = live_blocks(tables, kept, k, compat), []
+    if alpha < 1 or compat:  # only these go through blocks in order
+        live, order = ranking.with_positions(live), ["pos"]
     product = F.col("weight").cast("long") * F.col("impact").cast("long")
-    matches = tables.postings.join(kept, tables.term).join(live.select("qid", "block_id", "pos", "tau"), ["qid", "block_id"])
-    scored = matches.groupBy("qid", "doc_id", "pos", "tau").agg(F.sum(product).alias("score")).where("score > 0")
+    matches = tables.postings.join(kept, tables.term).join(live.select("qid", "block_id", "tau", *order), ["qid", "block_id"])
+    scored = matches.groupBy("qid", "doc_id", "tau", *order).agg(F.sum(product).alias("score")).where("score > 0")
     if alpha < 1 or compat:
         stops = ranking.stop_positions(scored, live, k, alpha)
         scored = scored.join(stops, "qid", "left").where(F.col("stop_pos").isNull() | (F.col("pos") <= F.col("stop_pos")))
@@ -67,7 +69,8 @@ def two_waves(tables: Tables, queries: DataFrame, k: int, first_blocks: int = 8)
     live = live_blocks(tables, kept, k)
     product = F.col("weight").cast("long") * F.col("impact").cast("long")
     score = lambda blocks: tables.postings.join(kept, tables.term).join(blocks.select("qid", "block_id"), ["qid", "block_id"]).groupBy("qid", "doc_id").agg(F.sum(product).alias("score")).where("score > 0")
-    early = ranking.top_k(score(live.where(F.col("pos") < first_blocks)), k)
+    first = ranking.first_blocks(live, first_blocks)
+    early = ranking.top_k(score(first), k)
     raised = early.where(F.col("rank") == k).select("qid", F.col("score").alias("tau1"))
-    late = live.where(F.col("pos") >= first_blocks).join(raised, "qid", "left").where(F.col("tau1").isNull() | (F.col("ub") >= F.col("tau1")))
+    late = live.join(first.select("qid", "block_id"), ["qid", "block_id"], "left_anti").join(raised, "qid", "left").where(F.col("tau1").isNull() | (F.col("ub") >= F.col("tau1")))
     return ranking.top_k(early.select("qid", "doc_id", "score").unionByName(score(late)), k)

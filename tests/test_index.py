@@ -158,3 +158,84 @@ def test_stream(spark, vectors, tmp_path):
     search_stream(index, stream, str(tmp_path / "out"), str(tmp_path / "ck"), 10).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("rank").collect()
     assert [(r["docno"], r["score"]) for r in got] == [("doc2", 2), ("doc1", 1)]
+
+
+def test_frames_as_transformers(spark, tmp_path):
+    import pandas as pd
+
+    from quillon.transformers import FrameIndex
+
+    handle = quillon.IndexHandle(spark, str(tmp_path / "t"))
+    index = FrameIndex(handle).index({"docno": d, "toks": t} for d, t in [*VECTORS, ("doc3", {"c": 0.29}), ("doc4", {})])
+    with pytest.raises(FileExistsError):
+        index.index([])
+    frame = pd.DataFrame({"qid": ["x", "y", "x"], "query_toks": [{"a": 5.3, "c": 1.1}, {"zzz": 1.0}, {"c": 2}], "note": [1, 2, 3]})
+    got = index(frame)
+    assert list(got.columns) == ["qid", "query_toks", "note", "docno", "score", "rank"]
+    assert got[["note", "docno", "score", "rank"]].to_numpy().tolist() == [[1, "doc3", 196.0, 0], [1, "doc1", 88.0, 1], [1, "doc2", 71.0, 2], [3, "doc3", 896.0, 0], [3, "doc1", 256.0, 1], [3, "doc2", 32.0, 2]]
+    cut = index.retriever(3).fuse_rank_cutoff(1)
+    assert len(cut.transform(frame)) == 2
+    assert index.retriever(3).fuse_rank_cutoff(3) is None
+    with pytest.raises(ValueError, match="query_toks"):
+        index.transform(frame.drop(columns="query_toks"))
+    assert len(index.transform(frame.iloc[:0])) == 0
+
+
+def test_rows_given_one_by_one_are_spooled(spark, tmp_path):
+    indexer = quillon.Indexer(spark, str(tmp_path / "s"), 2)
+    indexer.rows.limit = 3
+    for i in range(10):
+        indexer.add_document(f"d{i}", {"a": i})
+    assert len(indexer.rows.rows) < 3
+    index = indexer.finish()
+    assert [tuple(r) for r in index.docs.orderBy("doc_id").collect()] == [(i, f"d{i}") for i in range(10)]
+    assert sorted((r["doc_id"], r["impact"]) for r in index.postings.collect()) == [(i, i) for i in range(10)]
+    lists = quillon.InvertedIndexer(spark, str(tmp_path / "u"), 2)
+    lists.add_document("d", [(5, 1)])
+    lists.add_term("t", [(0, 1)])
+    with pytest.raises(Exception, match="a term that is not there: 5"):
+        lists.finish()
+
+
+def test_order_statistics_of_wrapped_impacts_come_before_the_wrap(spark):
+    frame = spark.createDataFrame([(f"d{i}", {"a": w}) for i, w in enumerate([300, 290, 280, 270, 265, 264, 263, 262, 261, 260, 5])], "docno string, toks map<string,int>")
+    index = quillon.SparseIndex.from_vectors(frame, 4, impacts="wrap")
+    # the tenth of the whole impacts is 260, whose low byte is 4; of the wrapped ones it would be 5
+    assert index.terms.first()["k10"] == 4
+    assert index.terms.first()["max_impact"] == 44
+
+
+def test_gaps_over_many_ranges(spark):
+    from quillon.operators import tables
+
+    rows = [(d, t, d % 7 + 1) for t, step in (("a", 1), ("b", 7), ("c", 40)) for d in range(3, 100, step)] + [(0, "a", 9), (99, "z", 1)]
+    base = spark.createDataFrame(rows, "doc_id long, term string, impact int")
+    gaps = tables.encode_gaps(base, span=8)
+    want, last = [], {}
+    for d, t, w in sorted(rows, key=lambda r: (r[1], r[0])):
+        pos, before = last.get(t, (-1, 0))
+        want.append((t, pos + 1, d - before, w))
+        last[t] = (pos + 1, d)
+    assert sorted(map(tuple, gaps.collect())) == sorted(want)
+    assert sorted(map(tuple, tables.decode_gaps(gaps, span=5).collect())) == sorted((t, d, w) for d, t, w in rows)
+    lists = spark.createDataFrame([("a", [(3, 1), (2, 5)]), ("b", []), ("n", None), ("c", [(0, 2)])], "term string, postings array<struct<gap:int,tf:int>>")
+    assert sorted(map(tuple, tables.decode_gap_lists(lists.coalesce(1)).collect())) == [("a", 3, 1), ("a", 5, 5), ("c", 0, 2)]
+
+
+def test_dense_maxima_hold_only_runs_with_one(spark):
+    from quillon.operators import tables
+
+    maxima = spark.createDataFrame([("a", 0, 3), ("a", 255, 4), ("a", 256, 5), ("b", 100_000, 7)], "term string, block_id int, max_impact smallint")
+    raw = tables.raw_maxima(maxima, 100_001)
+    assert sorted((r["term"], r["superblock"], len(r["maxima"])) for r in raw.collect()) == [("a", 0, 256), ("a", 1, 256), ("b", 390, 161)]
+    assert sorted(map(tuple, tables.from_raw(raw).collect())) == sorted(map(tuple, maxima.collect()))
+
+
+def test_saved_index_leaves_no_steps(spark, vectors, tmp_path):
+    index = quillon.SparseIndex.from_vectors(vectors, 1)
+    steps = [x._step_path for x in index._steps]
+    kept = index.save(str(tmp_path / "k"))
+    from pathlib import Path
+
+    assert steps and not any(Path(p.removeprefix("file://")).exists() for p in steps)
+    assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, kept.postings.collect()))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from quillon import catalogue
-from quillon.operators import tables
+from quillon.operators import ranking, tables
 from quillon.plans.search import Tables, search, two_waves
 from quillon.sources.queries import parse_lines, text_weights
 
@@ -164,5 +164,20 @@ def test_every_supplier_searches_orders(spark, tmp_path):
     assert len(asked) > 20
     got = catalogue.order_part_search_all(spark, str(tmp_path)).select("qid", "doc_id", "score", "rank")
     assert sorted(map(tuple, got.collect())) == sorted(want)
-    some = catalogue.order_part_search(spark, str(tmp_path)).select("qid", "doc_id", "score", "rank")
-    assert sorted(map(tuple, some.collect())) == sorted(w for w in want if w[0] <= 10)
+
+
+def test_positions_over_many_ranges(spark):
+    rnd = random.Random(3)
+    rows = [(q, b, rnd.randint(1, 4), 1) for q in range(3) for b in rnd.sample(range(100), 40)]
+    live = spark.createDataFrame(rows, "qid long, block_id int, ub long, tau long")
+    got = {(r["qid"], r["pos"]): r["block_id"] for r in ranking.with_positions(live, span=8).collect()}
+    for q in range(3):
+        order = sorted((-ub, b) for x, b, ub, _ in rows if x == q)
+        assert [got[q, i] for i in range(len(order))] == [b for _, b in order]
+
+
+def test_more_results_than_spark_pushes_by_itself(spark):
+    scores = spark.range(5000).selectExpr("id % 2 qid", "id doc_id", "id * 7919 % 1000 score")
+    got = [(r["qid"], r["rank"], r["doc_id"]) for r in ranking.top_k(scores, 1500).collect()]
+    want = [(q, i + 1, d) for q in (0, 1) for i, (_, d) in enumerate(sorted((-(d * 7919 % 1000), d) for d in range(q, 5000, 2))[:1500])]
+    assert sorted(got) == want

@@ -34,11 +34,13 @@ from quillon.llm.shared import built, ship, slices, text_buffer
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Short notices by which public licenses are granted (label, notice).
+#: Notices by which public licenses are granted, and sentences of the shorter ones (label, notice).
 TEMPLATES = (
     ("agpl", "licensed under the gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2.0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsl-1.0", "distributed under the boost software license version 1.0"),
     ("cc-by-nc", "licensed under cc by nc 4.0"),
     ("cc-by-nd", "licensed under cc by nd 4.0"),
@@ -46,14 +48,17 @@ TEMPLATES = (
     ("cc0", "dedicated to the public domain under the cc0 1.0 universal deed"),
     ("epl-2.0", "made available under the terms of the eclipse public license 2.0"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "licensed under the gnu lesser general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("proprietary", "no part of this publication may be reproduced without the prior written permission of the publisher"),
     ("reserved", "all rights reserved"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 
 FOUND = T.StructType(

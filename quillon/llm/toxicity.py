@@ -67,25 +67,21 @@ def features(word: str) -> list[str]:
 
 
 class Model:
-    """Weights of features; those of a run without white space are looked up once and remembered."""
+    """Weights of features, held by words and by beginnings of each length, so that a text's are found by set intersection."""
 
     def __init__(self, bias: float | None, weights: dict[str, float]):
-        self.bias, self.weights, self.known = bias, weights, {}
+        self.bias, self.weights = bias, weights
+        self.by_word = {f[1:]: w for f, w in weights.items() if f[0] == "="}
+        self.by_beginning = {k: {f[1:]: w for f, w in weights.items() if f[0] == "^" and len(f) == k + 1} for k in BEGINNINGS}
 
     def score(self, text: str | None) -> float:
         if self.bias is None:
             return 0.0
-        if len(self.known) > 100_000:
-            self.known.clear()
-        known, present = self.known, {}
-        # white space is in no word, so each distinct run between is cut into words once
-        for run in set((text or "").lower().split()):
-            got = known.get(run)
-            if got is None:
-                got = known[run] = tuple({f: self.weights[f] for w in WORD.findall(run) for f in features(w) if f in self.weights}.items())
-            if got:
-                present.update(got)
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(present.values())), -700, 700))))
+        have = words(text)
+        found = [self.by_word[w] for w in have & self.by_word.keys()]
+        for k, known in self.by_beginning.items():
+            found += [known[b] for b in {w[:k] for w in have} & known.keys()]
+        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(found)), -700, 700))))
 
 
 def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, float]]:

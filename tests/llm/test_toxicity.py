@@ -127,7 +127,7 @@ def test_counterfactuals_decide_whole_queries(spark, tmp_path):
     assert all(got[i] for i, t in rows if "scum" in t)
 
 
-def test_runs_of_words_score_as_their_words():
+def test_scores_by_hand():
     model = toxicity.Model(-2.0, {"=bad": 1.0, "^bad": 0.5, "=worse": 2.0})
     logit = lambda p: float(np.log(p / (1 - p)))
     assert logit(model.score("bad,worse(bad)-BAD\u00a0x")) == pytest.approx(1.5)

@@ -35,10 +35,14 @@ def keep_heaviest(queries: DataFrame, beta: float, term: str = "term") -> DataFr
     return queries.withColumn("__keep", keep).withColumn("__place", place).where("__place <= __keep").drop("__keep", "__place")
 
 
-def document_scores(queries: DataFrame, postings: DataFrame, term: str = "term") -> DataFrame:
-    """(qid, doc_id, score) with the inner product where it is positive; summed on the map side first."""
+def document_scores(queries: DataFrame, postings: DataFrame, term: str = "term", lie_by: list[str] | tuple = ()) -> DataFrame:
+    """(qid, doc_id, score) with the inner product where it is positive; summed on the map side first.
+
+    lie_by names columns that follow from doc_id and by which the postings lie together: no shuffle is needed then.
+    """
     product = F.col("weight").cast("long") * F.col("impact").cast("long")
-    return postings.join(queries, term).groupBy("qid", "doc_id").agg(F.sum(product).alias("score")).where("score > 0")
+    summed = postings.join(queries, term).groupBy("qid", *lie_by, "doc_id").agg(F.sum(product).alias("score"))
+    return summed.where("score > 0").select("qid", "doc_id", "score")
 
 
 def upper_bounds(queries: DataFrame, maxima: DataFrame, term: str = "term") -> DataFrame:

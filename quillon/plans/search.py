@@ -12,12 +12,16 @@ from quillon.operators import ranking
 
 @dataclass(frozen=True)
 class Tables:
-    """What a search reads. term names the joining column of all of them; postings and maxima have block_id."""
+    """What a search reads. term names the joining column of all of them; postings and maxima have block_id.
+
+    by_block says that postings lie in buckets of block_id: scores are then summed where they lie, without a shuffle.
+    """
 
     postings: DataFrame
     statistics: DataFrame
     maxima: DataFrame
     term: str = "term"
+    by_block: bool = False
 
 
 def search(tables: Tables, queries: DataFrame, k: int, alpha: float = 1.0, beta: float = 1.0, mode: str = "exact", prune: bool = False) -> DataFrame:
@@ -37,7 +41,7 @@ def search(tables: Tables, queries: DataFrame, k: int, alpha: float = 1.0, beta:
     kept = ranking.small(kept)
     compat = mode == "compat"
     if not (prune or compat or alpha < 1):
-        return ranking.top_k(ranking.document_scores(kept, tables.postings, tables.term), k)
+        return ranking.top_k(ranking.document_scores(kept, tables.postings, tables.term, ["block_id"] if tables.by_block else []), k)
     live, order = live_blocks(tables, kept, k, compat), []
     if alpha < 1 or compat:  # only these go through blocks in order
         live, order = ranking.with_positions(live), ["pos"]

@@ -239,3 +239,19 @@ def test_saved_index_leaves_no_steps(spark, vectors, tmp_path):
 
     assert steps and not any(Path(p.removeprefix("file://")).exists() for p in steps)
     assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, kept.postings.collect()))
+
+
+def test_saved_postings_are_summed_where_they_lie(spark, tmp_path):
+    rows = [(f"d{i}", {f"t{j}": (i * j) % 5 + 1 for j in range(6) if (i + j) % 3}) for i in range(200)]
+    built = quillon.SparseIndex.from_vectors(spark.createDataFrame(rows, "docno string, toks map<string,int>"), 8)
+    asked = spark.createDataFrame([(q, f"t{t}", t + 1) for q in range(5) for t in range(q + 1)], "qid long, term string, weight int")
+    before = sorted(map(tuple, built.search(asked, 7).collect()))
+    kept = built.save(str(tmp_path / "b"))
+    found = quillon.SparseIndex.load(spark, str(tmp_path / "b")).search(asked, 7)
+    assert sorted(map(tuple, found.collect())) == before == sorted(map(tuple, built.search(asked, 7).collect()))
+    assert kept.about.buckets > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" in plan
+    assert "doc_id#" not in "".join(line for line in plan.splitlines() if "hashpartitioning(qid" in line)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("written_", "read_"))]
+    assert sorted(map(tuple, kept.search(asked, 7, prune=True).collect())) == before

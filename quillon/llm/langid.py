@@ -159,3 +159,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text", "lang")))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def _sql(top: int = 300) -> str:
+    # crc32 of a short string, bit by bit; DuckDB has none
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"
+    point = lambda i: f"(case when substr(g, {i}, 1) = ' ' then {BLANK} else unicode(substr(g, {i}, 1)) end)::bigint"
+    code = f"case length(g) when 1 then {point(1)} when 2 then {point(1)} * 65536 + {point(2)} else ({point(1)} * 65536 + {point(2)}) * 65536 + {point(3)} end"
+    return f"""
+with d as (select row_number() over () rid, doc_id, lang, lower(coalesce(text, '')) x, coalesce({crc} % 4 = 2, true) held_out from documents),
+w as (select rid, ' ' || unnest(regexp_extract_all(x, '\\p{{L}}+')) || ' ' p from d),
+c as (select rid, p, count(*) n from w group by 1, 2),
+k as (select rid, g, sum(n) n from (select rid, substr(p, i, k) g, n from c, (values (1), (2), (3)) v(k), unnest(range(1, length(p) - k + 2)) r(i)) where trim(g) <> '' group by 1, 2),
+learned as (select lang, g, sum(n) n from k join d using (rid) where lang is not null and not held_out group by 1, 2),
+profile as (select lang, g, row_number() over (partition by lang order by n desc, {code}) - 1 r from learned qualify r < {top}),
+own as (select rid, g, row_number() over (partition by rid order by n desc, {code}) - 1 r from k qualify r < {top}),
+far as (select rid, l.lang, sum(case when p.r is null then {top} else abs(p.r - own.r) end)::double f from own cross join (select distinct lang from profile) l left join profile p on p.lang = l.lang and p.g = own.g group by 1, 2),
+best as (select rid, lang, f, lead(f) over (partition by rid order by f, lang) f2, row_number() over (partition by rid order by f, lang) o from far)
+select doc_id, held_out, coalesce(b.lang, 'und') lang_pred, case when b.lang is null then 0.0::double when f2 is null then 1.0::double else 0.5::double + 0.5::double * (f2 - f) / greatest(f2, 1) end score
+from d left join (select * from best where o = 1) b using (rid)
+"""
+
+
+#: For tables of no more learnable texts a language than are sampled, where all of them are learned from.
+SQL = _sql()

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_formatting": chat.SQL,
+    "op2_language_id": langid.SQL,
     "op8_quality_rules": quality.SQL,
     "op9_license_scans": licenses.SQL,
     "op3_ngram_jaccard_join": ngram_join.SQL,

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, materialise
+from quillon.llm.shared import discard, materialise, parts_for
 
 SPACES = " \t\n\x0b\x0c\r"
 #: A mixture is broadcast if it has no more sources, and no more documents of blocks at cuts, than this.
@@ -187,9 +187,10 @@ def with_epochs(documents: DataFrame, mixture: DataFrame, seed: int = 17) -> Dat
     return out.drop("__key", "__passes", "__blocks", "__cut", "__last_ids", "__last_null")
 
 
-def permuted(taken: DataFrame, seed: int = 17) -> DataFrame:
+def permuted(taken: DataFrame, mixture: DataFrame, seed: int = 17) -> DataFrame:
     """What ``with_epochs`` gives, with the rows of a source, epoch and block together and permuted within it."""
-    return taken.repartition(_source(), "epoch", "block").sortWithinPartitions("epoch", _source(), "block", F.xxhash64(F.lit(seed), F.lit("in"), "doc_id"), "doc_id")
+    size = 8 * (mixture.agg(F.sum("quota").alias("n")).first()["n"] or 0)  # a token and what is around it: about eight bytes
+    return taken.repartition(parts_for(taken.sparkSession, size), _source(), F.col("epoch"), F.col("block")).sortWithinPartitions("epoch", _source(), "block", F.xxhash64(F.lit(seed), F.lit("in"), "doc_id"), "doc_id")
 
 
 def mix(documents: DataFrame, seed: int = 17, **options) -> DataFrame:
@@ -197,7 +198,7 @@ def mix(documents: DataFrame, seed: int = 17, **options) -> DataFrame:
     mixture = plan_mixture(documents.select("doc_id", "source", "text"), seed=seed, **options)
     own = [c for c in documents.columns]
     hidden = documents.select(*[F.col(f"`{c}`").alias({"epoch": "__own_epoch", "block": "__own_block"}.get(c, c)) for c in own])
-    out = permuted(with_epochs(hidden, mixture, seed), seed)
+    out = permuted(with_epochs(hidden, mixture, seed), mixture, seed)
     return out.select(*[F.col({"epoch": "__own_epoch", "block": "__own_block"}.get(c, f"`{c}`")).alias(c) for c in own])
 
 

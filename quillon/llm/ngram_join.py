@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.shared import SLICE_BYTES, discard, materialise, mix64, parts, ship, slices, small, text_buffer
+from quillon.llm.shared import SLICE_BYTES, discard, materialise, mix64, parts, ship, size_hint, slices, small, text_buffer
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,6 +48,10 @@ _LOW = np.uint64((1 << 48) - 1)
 CLASSES, RANGES = 12, 4
 #: Documents of a bucket that a task gets together, and how many such slots make a block at the end.
 SLOT, BLOCK = 256, 8
+#: N-grams of a part in bytes, about; and the most parts, so that a chunk of 64 n-grams for each fits a worker.
+PART_BYTES, MOST_PARTS = 32 << 20, 1 << 17
+#: Into how many shares a part's n-grams are cut while they are counted.
+SHARES = 16
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -156,27 +160,41 @@ def hash_part(chunk: str, n_parts: int) -> int:
 
 
 def _count_part(table: pa.Table) -> pa.Table:
-    """Frequencies in one part: keeps, for each chunk, n-grams that two documents or more have, with their class."""
+    """Frequencies in one part: keeps, for each chunk, n-grams that two documents or more have, with their class.
+
+    N-grams are counted by their lowest bits, one of SHARES after another, so that beside the part's n-grams only a share
+    of them is held in sorted form.
+    """
     rows = table.to_pylist()
     data = [r for r in rows if r["place"] >= 0]
+    out = [r for r in rows if r["place"] < 0]
     single, several = [_unpack(r["b"]) for r in data], [_unpack(r["c"]) for r in data]
+    sizes = [[len(g) for g in single], [len(s) for s in several]]
+    late = sum(sizes[0])
     values = np.concatenate([*single, *several]) if data else np.zeros(0, np.uint64)
-    weight = np.concatenate([np.ones(sum(map(len, single)), np.int64), *[np.frombuffer(r["d"], np.uint32).astype(np.int64) for r in data]]) if data else np.zeros(0, np.int64)
-    out = [r for r in rows if r["place"] < 0]
-    if len(values):
-        order = np.argsort(values)
-        ranked = values[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        df = np.add.reduceat(weight[order], np.flatnonzero(new))
-        own = np.empty(len(values), np.int64)
-        own[order] = df[np.cumsum(new) - 1]
-        kind = np.minimum(np.log2(own).astype(np.uint8), CLASSES)
-        at, late = 0, sum(map(len, single))
-        for r, g, s in zip(data, single, several, strict=True):
-            keep = own[at : at + len(g)] >= 2
-            docs = np.repeat(np.arange(len(r["a"]) // 4), np.frombuffer(r["a"], np.uint32))
-            out.append(r | {"a": np.bincount(docs[keep], minlength=len(r["a"]) // 4).astype(np.uint32).tobytes() if keep.any() else b"", "b": _pack(g[keep]), "c": kind[at : at + len(g)][keep].tobytes(), "d": kind[late : late + len(s)].tobytes(), "e": b""})
-            at, late = at + len(g), late + len(s)
+    times = np.concatenate([np.frombuffer(r["d"], np.uint32) for r in data]) if data else np.zeros(0, np.uint32)
+    del single, several
+    kind = np.full(len(values), 255, np.uint8)  # 255: one document has it
+    lowest = (values & np.uint64(SHARES - 1)).astype(np.uint8)
+    for share in range(SHARES if len(values) else 0):
+        at = np.flatnonzero(lowest == share)
+        if not len(at):
+            continue
+        at = at[np.argsort(values[at])]
+        ranked = values[at]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        weight = np.ones(len(at), np.int64)
+        weight[at >= late] = times[at[at >= late] - late]
+        df = np.add.reduceat(weight, first)
+        classes = np.where(df >= 2, np.minimum(np.log2(df).astype(np.uint8), CLASSES), 255).astype(np.uint8)
+        kind[at] = np.repeat(classes, np.diff(first, append=len(at)))
+    at = 0
+    for r, n, m in zip(data, *sizes, strict=True):
+        own = kind[at : at + n]
+        keep = own != 255
+        docs = np.repeat(np.arange(len(r["a"]) // 4), np.frombuffer(r["a"], np.uint32))
+        out.append(r | {"a": np.bincount(docs[keep], minlength=len(r["a"]) // 4).astype(np.uint32).tobytes() if keep.any() else b"", "b": _pack(values[at : at + n][keep]), "c": own[keep].tobytes(), "d": kind[late : late + m].tobytes(), "e": b""})
+        at, late = at + n, late + m
     return pa.Table.from_pylist(out, schema=_DEALT_ARROW)
 
 
@@ -236,11 +254,14 @@ def _gather_chunk(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_SETS_ARROW)
 
 
-def ngram_sets(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, chunk_grams: int = 1 << 19, n_parts: int | None = None) -> DataFrame:
+def ngram_sets(documents: DataFrame, text: str = "text", n: int = 5, percent: int = 75, chunk_grams: int | None = None, n_parts: int | None = None) -> DataFrame:
     """Every document with its set's size and, if it may have a partner, its shared n-grams in the global order."""
     spark = documents.sparkSession
     ship(spark)
-    n_parts = n_parts or 3 * parts(spark)
+    # files hold about a third of their n-grams' bytes, and a part is counted by one worker
+    n_parts = n_parts or min(MOST_PARTS, max(3 * parts(spark), 3 * size_hint(documents) // PART_BYTES))
+    # a chunk has a row for each part: with many parts it is larger, so that the number of rows follows the n-grams
+    chunk_grams = chunk_grams or max(1 << 19, 64 * n_parts)
 
     def deal(batches):
         from pyspark import TaskContext

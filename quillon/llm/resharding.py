@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialise
+from quillon.llm.shared import materialise, parts_for
 
 OVERHEAD = 8
 #: Ranges into which sizes are cut at a time when a row of given rank is looked for.
@@ -246,31 +247,47 @@ def reshard(documents: DataFrame, n_new: int = 24, old=None) -> DataFrame:
 
 
 ADDED = ("old_shard", "shard", "slot")
-_ROW = "__row_number"
+#: What tells rows apart: a file and the row's place in it, or a number of its own in a table written down first.
+_ROW = ("__file", "__place")
+
+
+def _identified(documents: DataFrame, columns: list) -> DataFrame:
+    """The columns with those of _ROW, the same whenever the frame is read.
+
+    Parquet files that are read as they are number their rows themselves; any other frame is written down first.
+    """
+    plan = documents._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in documents.columns:
+        try:
+            return documents.select(*columns, F.xxhash64("_metadata.file_path").alias(_ROW[0]), F.col("_metadata.row_index").alias(_ROW[1]))
+        except AnalysisException:
+            pass  # no Parquet files
+    return materialise(documents.select(*columns, F.lit(0).cast("long").alias(_ROW[0]), F.monotonically_increasing_id().alias(_ROW[1])), "numbered")
 
 
 def _placed_documents(documents: DataFrame, n_new: int, old, file_rows: int, moved_only: bool) -> tuple[DataFrame, DataFrame]:
     """Documents with ADDED, dealt out to files of file_rows slots of a shard, in order; and the plan's rows."""
     names = [c for c in documents.columns if c not in ADDED]
     hidden = [F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(names)]
-    numbered = materialise(documents.select(*hidden, (old_layout(16) if old is None else old).cast("int").alias("__old"), F.monotonically_increasing_id().alias(_ROW)), "numbered")
+    numbered = _identified(documents, [*hidden, (old_layout(16) if old is None else old).cast("int").alias("__old")])
     known = [F.col(f"__own_{names.index(c)}").alias(c) for c in ("doc_id", "text")]
-    plan = materialise(_plan(numbered.select(*known, "__old", _ROW), n_new, F.col("__old"), _ROW), "plan")
-    todo = plan.select(_ROW, *ADDED)
+    plan = materialise(_plan(numbered.select(*known, "__old", *_ROW), n_new, F.col("__old"), *_ROW), "plan")
+    todo = plan.select(*_ROW, *ADDED)
     if moved_only:
         changed = todo.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
         todo = todo.join(F.broadcast(changed), "shard")  # one row a shard at most
-    joined = numbered.select(_ROW, *[f"__own_{i}" for i in range(len(names))]).join(todo, _ROW)
-    dealt = joined.repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
-    return dealt.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(names)], *ADDED), plan.drop(_ROW)
+    n = parts_for(documents.sparkSession, plan.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
+    joined = numbered.select(*_ROW, *[f"__own_{i}" for i in range(len(names))]).repartition(n, *_ROW).join(todo.repartition(n, *_ROW), list(_ROW))
+    dealt = joined.repartition(n, F.col("shard"), F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
+    return dealt.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(names)], *ADDED), plan.drop(*_ROW)
 
 
-def shard_documents(documents: DataFrame, n_new: int = 24, old=None, file_rows: int = 100_000) -> DataFrame:
+def shard_documents(documents: DataFrame, n_new: int = 24, old=None, file_rows: int = 20_000) -> DataFrame:
     """documents, whole, with old_shard, shard and slot; rows of a shard lie together in the order of their slots."""
     return _placed_documents(documents, n_new, old, file_rows, False)[0]
 
 
-def rewrite(spark: SparkSession, folder: str, target: str, n_new: int, file_rows: int = 100_000) -> DataFrame:
+def rewrite(spark: SparkSession, folder: str, target: str, n_new: int, file_rows: int = 20_000) -> DataFrame:
     """Reshards a folder of Parquet documents partitioned by `shard` into target, and returns the plan.
 
     Only shards that lose or get rows are written, in files of file_rows rows at most; the others are left where they

@@ -85,6 +85,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Shuffle partitions for so many bytes: the session's number, or more where one would get over `each`."""
+    return max(parts(spark), -(-int(size) // each))
+
+
+def size_hint(df: DataFrame) -> int:
+    """What Spark takes the frame's bytes to be before it is read; 0 where it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 0
+
+
 def held_out(doc_id="doc_id"):
     """True for the rows no classifier may learn from: crc32(doc_id as text) mod 4 is 2. A null id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(True))

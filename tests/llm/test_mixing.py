@@ -146,7 +146,7 @@ def test_blocks_lie_together_and_permuted(spark):
     frame = docs(spark, rows)
     mixture = mixing.plan_mixture(frame, block_rows=6)
     hashes = {r["i"]: r["h"] for r in spark.range(200).select(F.col("id").alias("i"), F.xxhash64(F.lit(17), F.lit("in"), "id").alias("h")).collect()}
-    out = mixing.permuted(mixing.with_epochs(frame, mixture)).withColumn("part", F.spark_partition_id()).collect()
+    out = mixing.permuted(mixing.with_epochs(frame, mixture), mixture).withColumn("part", F.spark_partition_id()).collect()
     seen, before = set(), None
     for r in out:
         group = (r["source"], r["epoch"], r["block"])

@@ -65,6 +65,54 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == now.count()
 
 
+OWN = ["score", "held_out", "predicted", "n_words", "contaminated", "items", "spans", "epoch", "block", "place", "mark", "row", "old"]
+
+
+def clashing(spark, rows):
+    from pyspark.sql import functions as F
+
+    return docs(spark, rows).select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in OWN])
+
+
+def test_repeated_rows_nulls_and_clashing_columns(spark, tmp_path):
+    import random
+
+    rnd = random.Random(9)
+    rows = [(i, sentence(rnd, 40), "en", f"s{i % 2}") for i in range(30)]
+    rows += [rows[3], rows[3], (None, None, None, None), (None, rows[4][1], "en", "s0"), (40, None, "en", None), (40, None, "en", None), (41, "", "en", "s1"), (5, sentence(rnd, 40), "en", "s1")]
+    folder = save(
+        spark,
+        tmp_path,
+        documents=clashing(spark, rows),
+        labels=spark.createDataFrame([(i, None if i % 3 else 0, "x") for i in range(30)] + [(None, 1, "x"), (999, 1, "x")], "doc_id long, toxic int, text string"),
+        benchmark=spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "never said anywhere", "x")], "item_id long, text string, n_words string"),
+    )
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    names = now.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, folder)
+        out.write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        if name != "resharding":
+            assert now.columns == names, name
+        for r in now.collect():
+            assert all(r[c] == f"{c} of {'-' if r['doc_id'] is None else r['doc_id']}" for c in OWN), name
+    # repeated rows went once; both texts of 5, both null ids and the empty texts stay
+    kept = Counter((r["doc_id"], r["text"]) for r in now.collect())
+    assert set(kept) == {(i, t) for i, t, *_ in rows}
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = save(
+        spark,
+        tmp_path,
+        documents=clashing(spark, []),
+        labels=spark.createDataFrame([], "doc_id long, toxic int"),
+        benchmark=spark.createDataFrame([], "item_id long, text string"),
+    )
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_without_this_package():
     import subprocess
     import sys

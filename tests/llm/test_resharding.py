@@ -119,6 +119,19 @@ def test_documents_of_any_columns_are_sharded(spark):
     assert resharding.shard_documents(frame.limit(0), 5).count() == 0
 
 
+def test_rows_of_files_are_told_apart_as_they_are(spark, tmp_path):
+    data = [*rows(7, 50), (None, None), (None, None)]
+    docs(spark, data).repartition(3).write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    assert "numbered" not in resharding.shard_documents(read, 4)._jdf.queryExecution().analyzed().toString()
+    for frame in (read, read.where("true"), read.unionByName(read.limit(0)), read.withColumnRenamed("lang", "_metadata")):
+        found = resharding.shard_documents(frame, 4, file_rows=7).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in found) == Counter(data)
+        assert len({(r["shard"], r["slot"]) for r in found}) == len(data)
+    twice = read.unionByName(read)
+    assert Counter((r["doc_id"], r["text"]) for r in resharding.shard_documents(twice, 4).collect()) == Counter(data * 2)
+
+
 def test_nothing_moves_without_need():
     kept, moves = resharding.transfers([(0, 3, 5, 40), (1, 3, 5, 40)], 2)
     assert (kept, moves) == ({0: 5, 1: 5}, {})

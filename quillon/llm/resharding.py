@@ -282,12 +282,12 @@ def _placed_documents(documents: DataFrame, n_new: int, old, file_rows: int, mov
     return dealt.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(names)], *ADDED), plan.drop(*_ROW)
 
 
-def shard_documents(documents: DataFrame, n_new: int = 24, old=None, file_rows: int = 20_000) -> DataFrame:
+def shard_documents(documents: DataFrame, n_new: int = 24, old=None, file_rows: int = 5_000) -> DataFrame:
     """documents, whole, with old_shard, shard and slot; rows of a shard lie together in the order of their slots."""
     return _placed_documents(documents, n_new, old, file_rows, False)[0]
 
 
-def rewrite(spark: SparkSession, folder: str, target: str, n_new: int, file_rows: int = 20_000) -> DataFrame:
+def rewrite(spark: SparkSession, folder: str, target: str, n_new: int, file_rows: int = 5_000) -> DataFrame:
     """Reshards a folder of Parquet documents partitioned by `shard` into target, and returns the plan.
 
     Only shards that lose or get rows are written, in files of file_rows rows at most; the others are left where they

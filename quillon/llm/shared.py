@@ -85,9 +85,9 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
-    """Shuffle partitions for so many bytes: the session's number, or more where one would get over `each`."""
-    return max(parts(spark), -(-int(size) // each))
+def parts_for(spark: SparkSession, size: int, each: int = 32 << 20, most: int = 500_000) -> int:
+    """Shuffle partitions for so many bytes: the session's number, or more (up to `most`) where one would get over `each`."""
+    return max(parts(spark), min(most, -(-int(size) // each)))
 
 
 def size_hint(df: DataFrame) -> int:

@@ -2,6 +2,7 @@ import pytest
 
 import quillon
 from quillon import cli
+from quillon.operators import lists, tables
 from quillon.sources import ciff
 from quillon.sources.runs import result_frame, run_lines, write_run
 from quillon.sources.storage import numbered
@@ -255,3 +256,81 @@ def test_saved_postings_are_summed_where_they_lie(spark, tmp_path):
     assert "doc_id#" not in "".join(line for line in plan.splitlines() if "hashpartitioning(qid" in line)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(("written_", "read_"))]
     assert sorted(map(tuple, kept.search(asked, 7, prune=True).collect())) == before
+
+
+def _ciff_lists():
+    return [("a", [(0, 1), (1, 2), (300, 255)]), ("b", [(0, 5)]), ("c", [(7, 128), (40_000, 1)]), ("é", [(i, 1 + i % 200) for i in range(0, 3000, 3)])]
+
+
+@pytest.mark.parametrize("run_bytes", [1, 40, 1 << 20])
+def test_ciff_is_read_in_runs(tmp_path, run_bytes):
+    """Runs of whole messages, each read by itself, hold every list and record once, in order."""
+    path = str(tmp_path / "r.ciff")
+    given, docs = _ciff_lists(), [(f"d{i}", i % 3) for i in range(50)]
+    ciff.write(path, ciff.Header(1, len(given), len(docs)), given, docs)
+    for table in ("postings", "docs"):
+        reader = ciff.CiffReader(path, table, run_bytes)
+        runs = reader.partitions()
+        assert len(runs) == (1 if run_bytes > 40_000 else len(runs)) and (run_bytes > 1 or len(runs) == (len(given) if table == "postings" else len(docs)))
+        rows = [row for run in runs for batch in reader.read(run) for row in batch.to_pylist()]
+        if table == "docs":
+            assert [(r["doc_id"], r["docno"], r["doclength"]) for r in rows] == [(i, *d) for i, d in enumerate(docs)]
+            continue
+        back = []
+        for r in rows:
+            last, pairs = 0, []
+            for p in r["postings"]:
+                last += p["gap"]
+                pairs.append((last, p["tf"]))
+            back.append((r["term"], pairs))
+        assert back == given and [r["ordinal"] for r in rows] == list(range(len(given)))
+        assert [(r["df"], r["cf"]) for r in rows] == [(len(x), sum(tf for _, tf in x)) for _, x in given]
+
+
+def test_ciff_lists_of_other_writers(tmp_path):
+    """Fields in another order, unknown ones, zeros left out and long varints are read as before."""
+    pair = lambda *parts: ciff._put(4, b"".join(parts))
+    odd = [
+        pair(ciff._put(2, 3), ciff._put(1, 4)) + ciff._put(1, "x"),
+        ciff._put(1, "y") + ciff._put(2, 2) + pair(ciff._put(1, 4)) + pair(),
+        ciff._put(1, "z") + ciff._put(9, "more") + pair(ciff._put(1, 1), ciff._put(2, -1)),
+        ciff._put(1, "w") + pair(ciff._put_varint(8) + b"\x84\x00", ciff._put(2, 9)),
+    ]
+    path = str(tmp_path / "o.ciff")
+    ciff.write(path, ciff.Header(1, len(odd), 0), [], [])
+    with open(path, "ab") as f:
+        f.write(b"".join(ciff._put_varint(len(x)) + x for x in odd))
+    for run_bytes in (1, 1 << 20):
+        reader = ciff.CiffReader(path, "postings", run_bytes)
+        rows = [r for run in reader.partitions() for b in reader.read(run) for r in b.to_pylist()]
+        assert [(r["term"], [(p["gap"], p["tf"]) for p in r["postings"]]) for r in rows] == [("x", [(4, 3)]), ("y", [(4, 0), (0, 0)]), ("z", [(1, -1)]), ("w", [(4, 9)])]
+    with open(path, "r+b") as f:
+        f.truncate(f.seek(0, 2) - 1)
+    with pytest.raises(EOFError):
+        list(ciff.CiffReader(path, "postings").read(None))
+
+
+def test_ciff_written_by_tasks(spark, tmp_path):
+    """Frames give the bytes that one writer gives; a term's rows may come in any order and number."""
+    given, docs = _ciff_lists(), [(f"d{i}", i % 3) for i in range(50)]
+    rows = [(t, [d for d, _ in some], [tf for _, tf in some]) for t, pairs in given for some in (pairs[len(pairs) // 2 :], pairs[: len(pairs) // 2]) if some]
+    frame = spark.createDataFrame(rows, "term string, docs array<bigint>, impacts array<int>").repartition(3)
+    header = ciff.write_frames(str(tmp_path / "many"), frame, spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "ordinal long, docno string, doclength int"), "x")
+    ciff.write(str(tmp_path / "one"), header, given, docs)
+    assert (tmp_path / "many").read_bytes() == (tmp_path / "one").read_bytes()
+    assert len(ciff.CiffReader(str(tmp_path / "many"), "postings", 10).partitions()) > 1
+
+
+def test_counted_lists(spark):
+    """Tokens part at ASCII white space but vertical tabs, rows of one document count together, up to the top."""
+    texts = [(3, "a b c a"), (1, " a\tb\n\n"), (3, "a " * 300), (2, None), (4, "x\x0by x\x0by\rz\x1cz"), (5, "")]
+    for run_bytes in (1, 1 << 20):
+        got = lists.counted(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), 255, run_bytes=run_bytes).collect()
+        pairs = sorted((r["term"], d, n) for r in got for d, n in zip(r["docs"], r["impacts"]))
+        assert pairs == [("a", 1, 1), ("a", 3, 255), ("b", 1, 1), ("b c", 3, 1), ("x\x0by", 4, 2), ("z\x1cz", 4, 1)]
+
+
+def test_gap_list_sums(spark):
+    rows = [(1, [(0, 2), (3, 1)]), (2, []), (3, None), (4, [(7, 255)])]
+    frame = spark.createDataFrame(rows, "term int, postings array<struct<gap:int,tf:int>>").coalesce(1)
+    assert sorted(map(tuple, tables.gap_list_sums(frame, ["term"]).collect())) == [(1, 2, 3, 3, 3), (4, 1, 7, 7, 255)]

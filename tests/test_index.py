@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -363,3 +364,52 @@ def test_whole_terms_against_loops():
             if x:
                 best[d // 32] = max(best.get(d // 32, 0), x)
         assert [(b, m) for r in mine for b, m in zip(r["blocks"], r["maxima"])] == sorted(best.items())
+
+
+def test_ciff_of_texts(spark, tmp_path):
+    """Texts are counted where they are read: documents in any order, some in several tasks, give the bytes of one writer."""
+    rng = random.Random(5)
+    texts = [(rng.randrange(40), " ".join(rng.choice(["a", "b", "é", "zz", "x\x0by", "ω" * 50]) for _ in range(rng.randrange(30)))) for _ in range(200)]
+    texts += [(300, "a " * 300), (300_000, "a rare"), (7, None), (8, ""), (None, "not there")]
+    sums: dict = {}
+    for doc, text in texts:
+        for term in (text or "").split(" ") if doc is not None else []:
+            if term:
+                sums.setdefault(term, Counter())[doc] += 1
+    given = [(t, [(d, min(255, n)) for d, n in sorted(c.items())]) for t, c in sorted(sums.items(), key=lambda x: x[0].encode())]
+    docs = [(f"d{i}", 0) for i in range(9)]
+    records = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "ordinal long, docno string, doclength int")
+    for n in (1, 4):
+        header = ciff.write_texts(str(tmp_path / f"many{n}"), spark.createDataFrame(texts, "doc_id long, text string").repartition(n), records, "x", 255)
+        assert (header.num_postings_lists, header.num_docs) == (len(given), 9)
+        ciff.write(str(tmp_path / "one"), header, given, docs)
+        assert (tmp_path / f"many{n}").read_bytes() == (tmp_path / "one").read_bytes()
+    empty = ciff.write_texts(str(tmp_path / "none"), spark.createDataFrame([], "doc_id long, text string"), records, "x", 255)
+    assert (empty.num_postings_lists, empty.num_docs) == (0, 9)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_ciff_blocks_are_put_together(tmp_path, rows):
+    """Blocks of a part hold pieces whose documents interleave; about `rows` of them are put together at a time."""
+    given, blocks = _ciff_lists(), []
+    for k in range(3):
+        some = [(t, pairs[k::3]) for t, pairs in given if pairs[k::3]]
+        columns = pa.array([t for t, _ in some]), *(pa.array([[p[i] for p in pairs] for _, pairs in some], pa.list_(pa.int64())) for i in (0, 1))
+        blocks += [b.select(["block"]) for b in ciff._blocks(ciff.pieces(*columns), [])]
+    found = list(ciff._lists_of(blocks, 255, rows))
+    assert sum(n for n, _, _ in found) == len(given) and len(found) == (1 if rows == 1000 else len(found)) and (rows > 1 or len(found) == len(given))
+    for name, some in (("none", []), ("all", given)):
+        ciff.write(str(tmp_path / name), ciff.Header(), some, [])
+    body = b"".join(bytes(x) for _, _, out in found for x in out)
+    assert (tmp_path / "all").read_bytes() == (tmp_path / "none").read_bytes() + body
+
+
+def test_ciff_rows_may_interleave(spark, tmp_path):
+    """A term's rows of a frame may overlap, but a document may not be in two of them."""
+    docs = spark.createDataFrame([], "ordinal long, docno string, doclength int")
+    frame = lambda rows: spark.createDataFrame(rows, "term string, docs array<bigint>, impacts array<int>")
+    header = ciff.write_frames(str(tmp_path / "a"), frame([("t", [1, 5, 300], [1, 2, 3]), ("t", [0, 200], [9, 8]), ("u", [0], [1])]), docs, "x")
+    ciff.write(str(tmp_path / "b"), header, [("t", [(0, 9), (1, 1), (5, 2), (200, 8), (300, 3)]), ("u", [(0, 1)])], [])
+    assert (tmp_path / "a").read_bytes() == (tmp_path / "b").read_bytes()
+    with pytest.raises(Exception, match="twice"):
+        ciff.write_frames(str(tmp_path / "c"), frame([("t", [1, 5], [1, 2]), ("t", [5], [9])]), docs, "x")

@@ -413,3 +413,13 @@ def test_ciff_rows_may_interleave(spark, tmp_path):
     assert (tmp_path / "a").read_bytes() == (tmp_path / "b").read_bytes()
     with pytest.raises(Exception, match="twice"):
         ciff.write_frames(str(tmp_path / "c"), frame([("t", [1, 5], [1, 2]), ("t", [5], [9])]), docs, "x")
+
+
+def test_ciff_sums(spark, tmp_path):
+    """The reader's sums are those of the lists it gives; empty lists have none."""
+    path = str(tmp_path / "s.ciff")
+    given = [*_ciff_lists(), ("zero", [])]
+    ciff.write(path, ciff.Header(1, len(given), 0), given, [])
+    got = sorted(map(tuple, ciff.read(spark, path, "sums").collect()))
+    assert got == sorted((t, i, len(p), sum(n for _, n in p), len(p), sum(d for d, _ in p), max(d for d, _ in p), sum(n for _, n in p)) for i, (t, p) in enumerate(given) if p)
+    assert got == sorted(map(tuple, tables.gap_list_sums(ciff.read(spark, path), ["term", "ordinal", "df", "cf"]).collect()))

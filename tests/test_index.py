@@ -395,7 +395,7 @@ def test_ciff_blocks_are_put_together(tmp_path, rows):
     for k in range(3):
         some = [(t, pairs[k::3]) for t, pairs in given if pairs[k::3]]
         columns = pa.array([t for t, _ in some]), *(pa.array([[p[i] for p in pairs] for _, pairs in some], pa.list_(pa.int64())) for i in (0, 1))
-        blocks += [b.select(["block"]) for b in ciff._blocks(ciff.pieces(*columns), [])]
+        blocks += [b.select(["block"]) for b in ciff._blocks(pa.RecordBatch.from_arrays(list(columns), names=["term", "docs", "impacts"]), [])]
     found = list(ciff._lists_of(blocks, 255, rows))
     assert sum(n for n, _, _ in found) == len(given) and len(found) == (1 if rows == 1000 else len(found)) and (rows > 1 or len(found) == len(given))
     for name, some in (("none", []), ("all", given)):
